@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, fingerprint, html, near_vectors, ngram_join, packing, quality, secrets
-from leafmill.llm.common import table
+from leafmill.llm import bpe, fingerprint, html, license, near_vectors, ngram_join, packing, quality, secrets, sharding
+from leafmill.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,14 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shared_folder(spark, "shards"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +67,8 @@ QUERIES: dict[str, Query] = {
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
     "op7_html": op7_html,
+    "op8_licenses": op8_licenses,
+    "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_licenses": license.oracle()}
