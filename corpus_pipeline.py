@@ -1,14 +1,62 @@
-"""The corpus pipeline; its stages are added as their operators are."""
+"""The corpus pipeline: four stages, each on all that the one before kept.
+
+1. ``quality``: documents that the classifier rejects go.
+2. ``near_copies``: of each group of linked documents one stays, the one with
+   the smallest doc_id; documents without words stay.
+3. ``secrets``: secrets in the texts are replaced by marks; no document goes.
+4. ``packing``: the documents become packed token sequences.
+
+All stages but the last return the columns of documents.  Null or empty texts,
+repeated rows, extra columns and empty tables are handled as the operators
+define it; of repeated rows of one document, one stays.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from leafmill.llm import ngram_join, packing, quality, secrets
+from leafmill.llm.common import checkpointed, table
+from leafmill.llm.queries import vocabulary
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least the cut; labels are learnt from the given documents."""
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.where(F.col("quality_score") >= quality.CUT).drop("quality_score")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose members are linked by their shingles."""
+    found = ngram_join.join(docs)
+    # a document stays if it names its group; rows of one doc_id are one document
+    stay = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)).select("doc_id").distinct()
+    stay = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
+    return stay.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced."""
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token sequences' pieces and places."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [("quality", keep_good), ("near_copies", keep_one), ("secrets", hide_secrets), ("packing", pack)]
+
+#: Tokens, learnt scores and the automaton's spans are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The rows of the last stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        # what a stage kept is read several times by the next one
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
