@@ -34,6 +34,13 @@ SMALLEST = 1 << 20
 FAN = 4
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores before it as it takes to clash with none."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 class Conflict(RuntimeError):
     """Another writer committed this version first."""
 
@@ -85,9 +92,7 @@ class Store:
 
     def _write(self, rows: DataFrame, made: int, shards: int) -> list[dict]:
         """``rows`` as so many immutable shards, each a folder, and their manifest entries."""
-        name = "shard"
-        while name in rows.columns:
-            name = f"_{name}"
+        name = _free("shard", rows.columns)
         batch = uuid.uuid4().hex
         size = F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in rows.columns else F.lit(0)
         dealt = rows
@@ -99,9 +104,7 @@ class Store:
             dealt = rows.withColumn(name, F.lit(0))
         folder = f"{self.path}/shards/{batch}"
         dealt.write.partitionBy(name).parquet(folder)
-        written = self.spark.read.parquet(folder)
-        if name not in written.columns:  # nothing was written
-            return []
+        written = self.spark.read.schema(dealt.schema).parquet(folder)  # an empty arrival has no file to tell it
         counts = written.groupBy(name).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()  # one row for each shard
         return [{"name": f"{batch}/{name}={r[0]}", "rows": r[1], "bytes": r[2] or 0, "tier": self.tier(r[2] or 0), "made": made} for r in sorted(counts)]
 
@@ -112,10 +115,13 @@ class Store:
         made = self._write(arrivals, after + 1, max(1, math.ceil(size / self.target)))
         return self.commit(self.manifest(after) + made, after)
 
-    def read(self, shards: list[dict]) -> DataFrame:
-        """The rows of some shards, with the shard's name as ``shard``."""
+    def read(self, shards: list[dict], label: str | None = None) -> DataFrame:
+        """The rows of some shards, with the shard's name as ``label`` if that is given."""
         paths = [f"{self.path}/shards/{s['name']}" for s in shards]
-        return self.spark.read.parquet(*paths).withColumn("shard", F.regexp_extract(F.input_file_name(), r"shards/([0-9a-f]+/[^/]+)/", 1))
+        rows = self.spark.read.parquet(*paths)
+        if label is None:
+            return rows
+        return rows.withColumn(label, F.regexp_extract(F.input_file_name(), r"shards/([0-9a-f]+/[^/]+)/", 1))
 
     def compact(self) -> int | None:
         """Merges the lowest tier that is full; the new version, or None if no tier is."""
@@ -130,7 +136,7 @@ class Store:
             return None
         run = sorted(tiers[full[0]], key=lambda s: (s["made"], s["name"]))
         total = sum(s["bytes"] for s in run)
-        merged = self._write(self.read(run).drop("shard"), after + 1, max(1, round(total / self.target)))
+        merged = self._write(self.read(run), after + 1, max(1, round(total / self.target)))
         gone = {s["name"] for s in run}
         return self.commit([s for s in live if s["name"] not in gone] + merged, after)
 
@@ -172,5 +178,6 @@ def shard(docs: DataFrame, path: str, arrivals: int = 6, **sizes) -> DataFrame:
         return docs.limit(0).select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("shard_bytes"))
     numbers = F.create_map(*(F.lit(x) for i, s in enumerate(live) for x in (s["name"], i)))
     sizes_of = F.array(*(F.lit(s["bytes"]).cast("long") for s in live))
-    rows = store.read(live).select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.element_at(numbers, F.col("shard")).alias("shard"))
+    label = _free("shard", docs.columns)
+    rows = store.read(live, label).select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.element_at(numbers, F.col(label)).alias("shard"))
     return rows.withColumn("shard_bytes", F.get(sizes_of, F.col("shard")))
