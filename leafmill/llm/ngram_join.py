@@ -46,7 +46,7 @@ STARS = 4
 #: The most frequent shingles that are put last, at most so many (8 bytes each).
 FREQUENT = 1_000_000
 #: Bytes of text that a worker holds at once.
-CHARS = 12_000_000
+CHARS = 4_000_000
 #: Ids that are broadcast to pick the texts of candidates; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -222,8 +222,8 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
                 coded = pa.concat_arrays([part.column(2), part.column(3)]).dictionary_encode()
                 sets = shingle_sets(coded.dictionary)
                 code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
