@@ -12,8 +12,8 @@ was counted as frequent.
 Large groups of copies are not expanded into pairs.  Equal sets are one node.
 Nodes that share a MinHash value are probed against the group's least node
 first, and a list whose nodes already hang together yields no pairs.  Lists of
-frequent shingles get two rounds of such stars; what is then still apart in a
-list is paired across its parts, and only there.
+frequent shingles get two rounds of such stars; nodes whose lists are then still
+apart are compared across their parts, block by block, and only there.
 
 Defined edge cases: a text without words, or null, has an empty set, links with
 nothing and is its own component; fewer than five words are one shingle; rows
@@ -45,6 +45,10 @@ NUMERATOR, DENOMINATOR = 80, 100
 STARS = 4
 #: The most frequent shingles that are put last, at most so many (8 bytes each).
 FREQUENT = 1_000_000
+#: Shingles counted so often (in batches where they repeat) are frequent.
+OFTEN = 8
+#: Stars in each list of frequent shingles before its parts are compared in blocks of so many nodes.
+STAR_ROUNDS, BLOCK = 2, 256
 #: Bytes of text that a worker holds at once.
 CHARS = 4_000_000
 #: Ids that are broadcast to pick the texts of candidates; more are joined by a shuffle.
@@ -252,6 +256,64 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return checkpointed(texts.mapInArrow(run, "a long, b long").distinct())
 
 
+def between(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that tie the parts of each family together; members have node, family and part.
+
+    A family is cut into blocks, a large part into blocks of its own, and each
+    two blocks are compared in a task of their own, but not two of one part.
+    Overlaps are counted for all pairs at once from the shingles that both
+    blocks know.  Of the links found only as many leave as join parts anew.
+    """
+    sizes = members.groupBy("family", "part").agg(F.count("*").alias("size"))
+    held = members.join(sizes, ["family", "part"]).withColumn("group", F.when(F.col("size") >= BLOCK, F.col("part")))
+    groups = held.groupBy("family", "group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    same = (F.col("h.family") == F.col("g.family")) & F.col("h.group").eqNullSafe(F.col("g.group"))
+    dealt = held.alias("h").join(groups.alias("g"), same).select("h.family", "h.group", "h.part", "h.node", F.pmod(F.xxhash64("h.node"), F.col("g.blocks")).cast("int").alias("block"))
+    blocks = groups.select("family", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    name = F.concat_ws("/", F.coalesce(F.col("group").cast("string"), F.lit("-")), "block")
+    named, blocks = dealt.withColumn("name", name), blocks.withColumn("name", name)
+    left, right = (blocks.select("family", F.col("group").alias(f"g{k}"), F.col("name").alias(f"n{k}")) for k in (1, 2))
+    meet = left.join(right, "family").where("n1 <= n2 AND NOT coalesce(g1 = g2, false)")
+    meet = meet.select("family", F.explode(F.array_distinct(F.array("n1", "n2"))).alias("name"), F.concat_ws(" ", "n1", "n2").alias("pair"))
+    texts = named.join(docs.withColumnRenamed("doc_id", "node"), "node").select("family", "name", "node", "part", "text")
+    rows = texts.join(meet, ["family", "name"]).select("family", "pair", "name", "node", "part", "text")
+
+    def compare(table):
+        table = table.combine_chunks()
+        node, part, name = (table.column(c).to_numpy() for c in ("node", "part", "name"))
+        sets = shingle_sets(pa.concat_arrays(table.column("text").chunks))
+        owner = np.repeat(np.arange(len(node)), sets.sizes)
+        _, code, many = np.unique(sets.values, return_inverse=True, return_counts=True)
+        shared = many[code] > 1
+        owner, code = owner[shared], np.unique(code[shared], return_inverse=True)[1]
+        overlap = np.zeros((len(node), len(node)))
+        for at in range(0, int(code.max(initial=-1)) + 1, 4096):  # a bounded stretch of shingles at a time
+            some = (code >= at) & (code < at + 4096)
+            holds = np.zeros((len(node), 4096), np.float32)
+            holds[owner[some], code[some] - at] = 1
+            overlap += holds @ holds.T
+        n = sets.sizes
+        alike = (DENOMINATOR * overlap >= NUMERATOR * (n[:, None] + n[None, :] - overlap)) & (part[:, None] != part[None, :]) & (n[:, None] > 0)
+        if name.min() != name.max():
+            alike &= name[:, None] != name[None, :]
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(alike)), strict=True):
+            a, b = find(part[i]), find(part[j])
+            if a != b:
+                root[a] = b
+                out.append((int(node[i]), int(node[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return checkpointed(rows.groupBy("family", "pair").applyInArrow(compare, "a long, b long"))
+
+
 def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` with the part (least node of the component) by the edges so far."""
     parts = components(edges)
@@ -263,7 +325,7 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = checkpointed(signatures(docs))
     own = seen.where("kind = 0").drop("kind")
-    counted = seen.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).where("n >= 4")
+    counted = seen.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     frequent = counted.orderBy(F.desc("n"), "doc_id").limit(FREQUENT).select("doc_id").toPandas()["doc_id"].to_numpy(np.int64)
     frequent = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
 
@@ -284,19 +346,20 @@ def join(docs: DataFrame) -> DataFrame:
     more = linked(across(short), docs)
     edges = edges.unionByName(more)
 
-    long = lists.where(F.size("long") > 0).select(F.explode("long").alias("token"), "node", "n")
-    for turn in range(3):
+    long = checkpointed(lists.where(F.size("long") > 0).select("node", "n", "long"))
+    for turn in range(STAR_ROUNDS + 1):
         parts = checkpointed(labelled(nodes.select("node").distinct(), edges))
-        now = long.join(parts, "node")
+        now = long.join(parts, "node").select(F.explode("long").alias("token"), "node", "n", "part")
         apart = now.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "part", "n")).alias("one")).where("low <> high")
         now = now.join(apart.select("token", "one"), "token")
-        if turn < 2:  # a star around some node of the list
-            one = F.col("one")
+        one = F.col("one")
+        if turn < STAR_ROUNDS:  # a star around some node of the list
             fits = DENOMINATOR * F.least("n", one["n"]) >= NUMERATOR * F.greatest("n", one["n"])
             star = now.where((F.col("part") != one["part"]) & fits).select(F.least("node", one["node"]).alias("a"), F.greatest("node", one["node"]).alias("b")).distinct()
             edges = edges.unionByName(linked(star, docs))
-        else:
-            edges = edges.unionByName(linked(across(now.drop("one")), docs))
+        else:  # nodes that lists which are still apart bring together form a family
+            met = components(now.select(F.col("node").alias("a"), one["node"].alias("b")).where("a <> b"))
+            edges = edges.unionByName(between(met.withColumnRenamed("component", "family").join(parts, "node"), docs))
 
     parts = labelled(nodes.select("node").distinct(), edges)
     named = sets.join(parts, "node", "left").select("key", F.coalesce("part", "node").alias("component_id"))

@@ -74,7 +74,9 @@ def test_join_empty(spark, none):
     assert ngram_join.join(none).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, graph.FEW])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     r = random.Random(1)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(400 + k, 401 + k) for k in range(40)]
     got = {x["node"]: x["component"] for x in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
