@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters handled together by one worker.
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 8_000_000
 #: Pieces longer than this are merged by the exact path alone.
 LONG_PIECE = 256
 NO_RANK = np.iinfo(np.int64).max
