@@ -9,8 +9,8 @@ written under a temporary name and renamed, which either happens or does not,
 so a reader sees one version or the next one; a writer that finds its version
 taken fails and can try again on the newer one.
 
-Rows are dealt to shards of a merge by salted hash, so no key, source or copy
-group decides a shard's size.  Everything is DataFrame code; files are touched
+Rows are dealt to shards by the tasks that read them, without a shuffle, so no
+key, source or copy group decides a shard's size.  Everything is DataFrame code; files are touched
 through the file system that the store's path names.
 
 Defined edge cases: null texts count no bytes; repeated rows are kept as often
@@ -90,18 +90,15 @@ class Store:
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.smallest, self.fan)) + 1) if size >= self.smallest else 0
 
-    def _write(self, rows: DataFrame, made: int, shards: int) -> list[dict]:
+    def _write(self, rows: DataFrame, made: int, shards: int, merge: bool = False) -> list[dict]:
         """``rows`` as so many immutable shards, each a folder, and their manifest entries."""
         name = _free("shard", rows.columns)
         batch = uuid.uuid4().hex
         size = F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in rows.columns else F.lit(0)
-        dealt = rows
-        if shards > 1:
-            # by a hash of the whole row and a number that differs between equal rows
-            salt = F.pmod(F.xxhash64(*rows.columns, F.monotonically_increasing_id()), F.lit(shards))
-            dealt = rows.withColumn(name, salt.cast("int")).repartition(shards, name)
-        else:
-            dealt = rows.withColumn(name, F.lit(0))
+        # rows stay where they are read: an arrival's tasks share its shards out among them, a
+        # merge's tasks are as many as its shards; nothing is shuffled, so no key decides a size
+        dealt = rows.coalesce(shards) if merge else rows
+        dealt = dealt.withColumn(name, (F.spark_partition_id() % shards).cast("int"))
         folder = f"{self.path}/shards/{batch}"
         dealt.write.partitionBy(name).parquet(folder)
         written = self.spark.read.schema(dealt.schema).parquet(folder)  # an empty arrival has no file to tell it
@@ -136,7 +133,7 @@ class Store:
             return None
         run = sorted(tiers[full[0]], key=lambda s: (s["made"], s["name"]))
         total = sum(s["bytes"] for s in run)
-        merged = self._write(self.read(run), after + 1, max(1, round(total / self.target)))
+        merged = self._write(self.read(run), after + 1, max(1, round(total / self.target)), merge=True)
         gone = {s["name"] for s in run}
         return self.commit([s for s in live if s["name"] not in gone] + merged, after)
 
