@@ -4,13 +4,18 @@ Equal vectors are one node.  The neighbour graph starts from windows of nodes
 that random hyperplanes bring next to each other, and is refined by local
 joins: all neighbours and reverse neighbours of a node are compared with one
 another, and each keeps its best.  A list that is full of linked neighbours is
-saturated and is enlarged.  An audit then compares a bounded sample of nodes
-with all vectors; while it finds too many links missed, the graph gets new
-windows and is refined again.  Edges from the threshold on are the links.
-
-Where lists stay saturated, the node's whole component is compared block by
-block with matrix products.  Only counts leave those tasks, so a group of
-thousands of near copies is counted exactly without emitting its pairs.
+saturated and is enlarged.  Edges from the threshold on tie nodes into parts.
+
+Every part is then compared as a whole, large ones block by block, with matrix
+products.  Only counts leave those tasks, so a group of thousands of near copies
+is counted exactly without emitting its pairs, and a link is lost only if its
+ends are in different parts.  An audit looks for such links: it compares sampled
+nodes with all vectors and takes the mean, over the nodes that have links, of
+the share found, for the nodes of big parts and for all others apart.  The
+sample of the others grows until enough of them have links.  While the audit
+fails, the graph gets new windows and is refined again, with weak neighbours
+as guides; if it still fails after the last round, all nodes are compared with
+all, chunk by chunk, which is exact and takes the square of their number.
 
 Defined edge cases: vectors that are null, empty, zero or hold null or
 non-finite components link with nothing, and neither do vectors of different
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import checkpointed, shuffle_partitions
-from leafmill.llm.graph import components
+from leafmill.llm.graph import _few, components
 
 LINK = 0.9
 #: Neighbours that are less alike are of no use on the way to links.
@@ -35,9 +40,14 @@ FLOOR = 0.6
 NEIGHBOURS, MOST_NEIGHBOURS = 12, 48
 TABLES, PLANES, WINDOW = 8, 16, 32
 REFINEMENTS, AUDITS = 2, 5
-#: The audit's sample, and the share of its links that must be found.
+#: The best neighbours that rounds after a failed audit keep below the floor.
+WEAK = 4
+#: The audit's sample, and the share of a node's links that must be found in the mean.
 SAMPLE, RECALL = 256, 0.98
-BLOCK = 1024
+#: Parts from so many nodes on are sampled apart; elsewhere so many linked nodes are wanted,
+#: from a sample of so many nodes and components of vectors at most.
+BIG, ENOUGH, MOST_SAMPLE, MOST_NUMBERS = 64, 64, 16_384, 4_000_000
+BLOCK, CHUNK = 1024, 4096
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -68,7 +78,7 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, checkpointed(nodes)
 
 
-def windows(nodes: DataFrame, seed: int) -> DataFrame:
+def windows(nodes: DataFrame, seed: int, weak: int = 0) -> DataFrame:
     """Candidate edges (a, b, likeness) among nodes that random hyperplanes put in a row."""
 
     def project(batches):
@@ -99,7 +109,7 @@ def windows(nodes: DataFrame, seed: int) -> DataFrame:
                 mine = np.flatnonzero(key[at] == k)
                 for start in range(0, len(mine), WINDOW):
                     rows = mine[start : start + 2 * WINDOW]
-                    found.append(best(node[at[rows]], unit[rows] @ unit[rows].T, NEIGHBOURS))
+                    found += kept(node[at[rows]], unit[rows] @ unit[rows].T, NEIGHBOURS, weak)
         yield edge_batch(found)
 
     dealt = nodes.select("node", "vector").mapInArrow(project, "key long, turn double, node long, vector array<double>")
@@ -107,14 +117,19 @@ def windows(nodes: DataFrame, seed: int) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long, likeness double")
 
 
-def best(node: np.ndarray, like: np.ndarray, k: int) -> np.ndarray:
+def kept(node: np.ndarray, like: np.ndarray, k: int, weak: int) -> list[np.ndarray]:
+    """Edges of a compared group: each member's k best, and so many best ones however weak."""
+    return [best(node, like, k), *([best(node, like, weak, -2)] if weak else [])]
+
+
+def best(node: np.ndarray, like: np.ndarray, k: int, floor: float = FLOOR) -> np.ndarray:
     """Edges (a, b, likeness) of a compared group: each member's k best from the floor on."""
     np.fill_diagonal(like, -1)
     if len(node) > k + 1:
         least = np.partition(like, len(node) - k, axis=1)[:, len(node) - k]
-        i, j = np.nonzero((like >= FLOOR) & ((like >= least[:, None]) | (like >= least[None, :])))
+        i, j = np.nonzero((like >= floor) & ((like >= least[:, None]) | (like >= least[None, :])))
     else:
-        i, j = np.nonzero(like >= FLOOR)
+        i, j = np.nonzero(like >= floor)
     keep = node[i] < node[j]
     return np.rec.fromarrays([node[i[keep]], node[j[keep]], like[i[keep], j[keep]]], names="a,b,likeness")
 
@@ -133,7 +148,7 @@ def lists(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") <= MOST_NEIGHBOURS).join(sizes, "node", "left").where(F.col("rank") <= F.coalesce("size", F.lit(NEIGHBOURS))).drop("size")
 
 
-def refined(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+def refined(graph: DataFrame, nodes: DataFrame, weak: int = 0) -> DataFrame:
     """Edges between neighbours of a node, forward and reverse."""
     # a list is bounded, but many lists may name one node: as many of those as a list holds
     back = graph.select(F.col("other").alias("node"), F.col("node").alias("other"))
@@ -160,7 +175,7 @@ def refined(graph: DataFrame, nodes: DataFrame) -> DataFrame:
             new = np.append(np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]])), len(centre))
             for i, j in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
                 if j - i > 1:
-                    found.append(best(node[i:j], unit[i:j] @ unit[i:j].T, MOST_NEIGHBOURS))
+                    found += kept(node[i:j], unit[i:j] @ unit[i:j].T, MOST_NEIGHBOURS, weak)
         return edge_batch(found)
 
     return members.repartition("node").sortWithinPartitions("node", "other").mapInArrow(compare, "a long, b long, likeness double")
@@ -170,36 +185,101 @@ def undirected(graph: DataFrame) -> DataFrame:
     return graph.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "likeness").distinct()
 
 
-def missed(nodes: DataFrame, parts: DataFrame) -> float:
-    """The share of a sample's true links whose ends the graph has not brought together."""
-    picked = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).join(parts, "node", "left").select("node", "vector", F.coalesce("component", "node").alias("part")).toPandas()
-    if not len(picked):
-        return 0.0
-    asked: dict[int, tuple] = {}
-    for n, rows in picked.groupby(picked["vector"].map(len)):
-        unit = matrix(pa.array(rows["vector"].tolist(), pa.list_(pa.float64())))
-        asked[int(n)] = rows["node"].to_numpy(), rows["part"].to_numpy(), unit
+def placed(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """node, vector and part; a node without links is its own part."""
+    return nodes.join(parts, "node", "left").select("node", "vector", F.coalesce("component", "node").alias("part"))
+
+
+def by_vector_length(rows) -> dict[int, tuple]:
+    """Places, nodes, parts and unit vectors of a few rows in pandas, by the length of the vectors."""
+    out = {}
+    for n, some in rows.reset_index(drop=True).groupby(rows["vector"].map(len).to_numpy()):
+        out[int(n)] = some.index.to_numpy(), some["node"].to_numpy(), some["part"].to_numpy(), matrix(pa.array(some["vector"].tolist(), pa.list_(pa.float64())))
+    return out
+
+
+def shares(known: DataFrame, rows) -> np.ndarray:
+    """The share of each row's true links that lie within its part; of no links, not a number."""
+    asked, n = by_vector_length(rows), len(rows)
 
     def brute(batches):
+        total, lost = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for batch in batches:
+            for at, unit in by_length(batch, 1):
+                if unit.shape[1] not in asked:
+                    continue
+                place, node, part, own = asked[unit.shape[1]]
+                for k in range(0, len(at), 256):
+                    some = at[k : k + 256]
+                    true = (own @ unit[k : k + 256].T >= LINK) & (node[:, None] != batch.column(0).to_numpy()[some])
+                    total[place] += true.sum(axis=1)
+                    lost[place] += (true & (part[:, None] != batch.column(2).to_numpy()[some])).sum(axis=1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some]), pa.array(lost[some])], ["row", "total", "lost"])
+
+    sums = known.mapInArrow(brute, "row long, total long, lost long").groupBy("row").agg(F.sum("total"), F.sum("lost")).collect()
+    out = np.full(n, np.nan)
+    for row, total, lost in sums:
+        out[row] = 1 - lost / total
+    return out
+
+
+def recall(nodes: DataFrame, parts: DataFrame, seed: int) -> float:
+    """The mean share of a linked node's links that is found: the least of nodes in big parts and of others."""
+    known = placed(nodes, parts)
+    big = parts.groupBy(F.col("component").alias("part")).agg(F.count("*").alias("members")).where(F.col("members") >= BIG).select("part")
+    least = 1.0
+    for how, wanted in (("left_semi", 1), ("left_anti", ENOUGH)):
+        size = SAMPLE
+        while True:
+            picked = known.join(big, "part", how).select("node", "vector", "part").orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(size).toPandas()
+            found = shares(known, picked) if len(picked) else np.zeros(0)
+            linked = found[~np.isnan(found)]
+            most = min(MOST_SAMPLE, MOST_NUMBERS // max(1, int(picked["vector"].map(len).max()) if len(picked) else 1))
+            if len(linked) >= wanted or len(picked) < size or size >= most:
+                break
+            size = min(4 * size, most)
+        if len(linked):
+            least = min(least, float(linked.mean()))
+    return least
+
+
+def joined(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Edges (a, b) that tie all parts between which there are links, by comparing all nodes with all."""
+    known = placed(nodes, parts)
+    chunks = max(1, -(-nodes.count() // CHUNK))
+    edges = None
+    for k in range(chunks):
+        new = checkpointed(known.mapInArrow(tied(by_vector_length(known.where(F.pmod(F.xxhash64("node"), F.lit(chunks)) == k).toPandas())), "a long, b long"))
+        edges = new if edges is None else edges.unionByName(new)
+    return edges.distinct()
+
+
+def tied(asked: dict[int, tuple]):
+    """A function from batches of nodes to edges between their parts and those of ``asked``; no more edges than nodes."""
+
+    def run(batches):
         for batch in batches:
-            total = lost = 0
             for at, unit in by_length(batch, 1):
-                if unit.shape[1] in asked:
-                    node, part, own = asked[unit.shape[1]]
-                    true = (own @ unit.T >= LINK) & (node[:, None] != batch.column(0).to_numpy()[at])
-                    total += int(true.sum())
-                    lost += int((true & (part[:, None] != batch.column(2).to_numpy()[at])).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([lost])], ["total", "lost"])
-
-    known = nodes.join(parts, "node", "left").select("node", "vector", F.coalesce("component", "node").alias("part"))
-    total, lost = known.mapInArrow(brute, "total long, lost long").agg(F.sum("total"), F.sum("lost")).first()
-    return (lost or 0) / max(1, total or 0)
-
-
-def counted(nodes: DataFrame, dense: DataFrame) -> DataFrame:
-    """(node, links) of nodes in the parts ``dense``, all compared within their part, in blocks."""
-    blocks = dense.groupBy("part").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    held = dense.join(blocks, "part").join(nodes, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+                if unit.shape[1] not in asked:
+                    continue
+                _, _, part, own = asked[unit.shape[1]]
+                for k in range(0, len(at), 256):
+                    other = batch.column(2).to_numpy()[at[k : k + 256]]
+                    i, j = np.nonzero((own @ unit[k : k + 256].T >= LINK) & (part[:, None] != other))
+                    if len(i):
+                        pairs = np.unique(np.column_stack([part[i], other[j]]), axis=0)
+                        for out in _few([pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], ["a", "b"])]):
+                            yield out.rename_columns(["a", "b"])
+
+    return run
+
+
+def counted(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, links) of nodes in ``parts`` (node, part), all compared within their part, in blocks if it is large."""
+    blocks = parts.groupBy("part").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    every = parts.join(blocks, "part").join(nodes, "node")
+    held = every.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a block meets every block of its part in another group, once as the rows and once as the columns
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = held.withColumn("other", other).select("part", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "node", "copies", "vector")
@@ -220,8 +300,32 @@ def counted(nodes: DataFrame, dense: DataFrame) -> DataFrame:
                     out.append(like @ copies[right])
         return pa.table({"node": np.concatenate(out_node) if out else np.zeros(0, np.int64), "links": np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)})
 
+    def whole(batches):
+        rest = None
+        for batch in batches:
+            batch = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()[0]
+            part = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(part, part[-1]))  # the last part may go on
+            if cut:
+                yield from runs(batch.slice(0, cut))
+            rest = batch.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield from runs(rest)
+
+    def runs(batch):
+        for at, unit in by_length(batch, 3):
+            part, node, copies = (batch.column(c).to_numpy()[at] for c in range(3))
+            new = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
+            links = np.zeros(len(part), np.int64)
+            for i, j in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
+                like = unit[i:j] @ unit[i:j].T >= LINK
+                np.fill_diagonal(like, False)
+                links[i:j] = like @ copies[i:j]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links)], ["node", "links"])
+
+    small = every.where("blocks = 1").select("part", "node", "copies", "vector").repartition("part").sortWithinPartitions("part", "node")
     pairs = rows.unionByName(columns).groupBy("part", "i", "j").applyInArrow(compare, "node long, links long")
-    return pairs.groupBy("node").agg(F.sum("links").alias("links"))
+    return pairs.groupBy("node").agg(F.sum("links").alias("links")).unionByName(small.mapInArrow(whole, "node long, links long"))
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
@@ -230,27 +334,25 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     sizes = nodes.select("node", F.lit(NEIGHBOURS).alias("size"))
     edges = None
     for turn in range(AUDITS):
-        new = windows(nodes, turn)
+        weak = WEAK if turn else 0
+        new = windows(nodes, turn, weak)
         graph = checkpointed(lists(new if edges is None else edges.unionByName(new), sizes))
         for _ in range(REFINEMENTS):
             full = graph.where((F.col("likeness") >= LINK)).groupBy("node").agg(F.count("*").alias("linked"))
             sizes = sizes.join(full, "node", "left").select("node", F.when(F.col("linked") >= F.col("size"), F.least(F.col("size") * 2, F.lit(MOST_NEIGHBOURS))).otherwise(F.col("size")).alias("size"))
             sizes = checkpointed(sizes)
-            graph = checkpointed(lists(undirected(graph).unionByName(refined(graph, nodes)), sizes))
+            graph = checkpointed(lists(undirected(graph).unionByName(refined(graph, nodes, weak)), sizes))
         edges = undirected(graph)
-        links = edges.where(F.col("likeness") >= LINK)
+        links = edges.where(F.col("likeness") >= LINK).select("a", "b")
         parts = checkpointed(components(links))
-        if missed(nodes, parts) <= 1 - RECALL:
+        if recall(nodes, parts, turn) >= RECALL:
             break
+    else:
+        parts = checkpointed(components(links.unionByName(joined(nodes, parts))))
 
-    # linked neighbours count by their copies; saturated nodes have their whole part compared
-    weight = nodes.select(F.col("node").alias("other"), F.col("copies").alias("weight"))
-    listed = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    few = listed.join(weight, "other").groupBy("node").agg(F.sum("weight").alias("few"), F.count("*").alias("many"))
-    saturated = few.where(F.col("many") >= NEIGHBOURS).join(parts, "node").select(F.col("component").alias("part")).distinct()
-    dense = parts.withColumnRenamed("component", "part").join(saturated, "part", "left_semi")
-    known = nodes.join(few, "node", "left").join(counted(nodes, dense), "node", "left").join(parts, "node", "left")
-    known = known.select("vector", F.coalesce("links", "few", F.lit(0)).alias("links"), "copies", F.coalesce("component", "node").alias("component_id"))
+    # linked nodes count by their copies
+    known = nodes.join(parts, "node", "left").join(counted(nodes, parts.withColumnRenamed("component", "part")), "node", "left")
+    known = known.select("vector", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("component", "node").alias("component_id"))
     out = rows.join(known, "vector", "left").select(
         "vec_id", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )

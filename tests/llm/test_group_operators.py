@@ -105,6 +105,34 @@ def test_vectors(spark):
     assert near_vectors.near_vectors(table.limit(0)).count() == 0
 
 
+def vectors_by_force(table, vectors):
+    """n_links and component of distinct vec_ids 0, 1, ... by brute force, against the operator's."""
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in near_vectors.near_vectors(table).collect()}
+    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    true = np.triu(unit @ unit.T >= near_vectors.LINK, 1)
+    parts = smallest(len(vectors), list(zip(*np.nonzero(true), strict=True)), list(range(len(vectors))))
+    return got, {i: (int(true[i].sum() + true[:, i].sum()), parts[i]) for i in range(len(vectors))}
+
+
+@pytest.mark.parametrize("rounds", [1, 5])
+def test_vectors_beside_a_hot_group(spark, monkeypatch, rounds):
+    """Pairs and small groups that a weak search loses beside a group whose links outnumber theirs."""
+    monkeypatch.setattr(near_vectors, "TABLES", 1)
+    monkeypatch.setattr(near_vectors, "WINDOW", 4)
+    monkeypatch.setattr(near_vectors, "AUDITS", rounds)
+    r = np.random.default_rng(5)
+    rows = [*(v + 0.02 * r.standard_normal((400, 16)) for v in r.standard_normal((1, 16)))][0].tolist()
+    for k in range(150):
+        v = r.standard_normal(16)
+        rows += (v + 0.05 * r.standard_normal((2 + k % 5, 16))).tolist()
+    table = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").repartition(3)
+    got, want = vectors_by_force(table, rows)
+    if rounds == 1:  # the exact comparison follows
+        assert got == want
+    else:
+        assert sum(got[i] == want[i] for i in range(400, len(rows))) >= 0.97 * (len(rows) - 400)
+
+
 def labelled(spark, n):
     rows, marks = [], []
     for i in range(n):
