@@ -1,6 +1,7 @@
 """Operator 2: near-duplicate vectors by NN-descent.
 
-Equal vectors are one node.  The neighbour graph starts from windows of nodes
+Equal vectors are one node, named by a hash of the vector; vec_ids only label
+rows and components.  The neighbour graph starts from windows of nodes
 that random hyperplanes bring next to each other, and is refined by local
 joins: all neighbours and reverse neighbours of a node are compared with one
 another, and each keeps its best.  A list that is full of linked neighbours is
@@ -19,8 +20,9 @@ all, chunk by chunk, which is exact and takes the square of their number.
 
 Defined edge cases: vectors that are null, empty, zero or hold null or
 non-finite components link with nothing, and neither do vectors of different
-lengths; rows that share a vec_id and a vector are copies of one another; an
-empty table gives an empty result; only ``vec_id`` and ``embedding`` are read,
+lengths; rows that share a vec_id and a vector are copies of one another; rows
+that share a vec_id but differ in their vectors are nodes of their own, of one
+component; an empty table gives an empty result; only ``vec_id`` and ``embedding`` are read,
 so labels and extra columns never matter.
 """
 
@@ -67,15 +69,25 @@ def by_length(batch: pa.RecordBatch, vector: int):
 
 
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with the node they belong to (null if none), and the nodes with their vector and copies."""
+    """Rows with the node they belong to (null if none), and the nodes with their vector, copies and least vec_id."""
     e = F.col("embedding")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     fine = e.isNotNull() & F.coalesce(~F.exists(e, bad) & F.exists(e, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, F.transform(e, lambda x: x.cast("double") + F.lit(0.0))).alias("vector"))
-    nodes = rows.where(F.col("vector").isNotNull() & F.col("vec_id").isNotNull()).groupBy("vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    # rows of one vec_id with different vectors would be one node: the least vector stands for them
-    nodes = nodes.groupBy("node").agg(F.min("vector").alias("vector"), F.max("copies").alias("copies"))
-    return rows, checkpointed(nodes)
+    for seed in range(8):  # hashes that clash are drawn anew
+        named = rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector", F.lit(seed))))
+        known = named.where(F.col("node").isNotNull() & F.col("vec_id").isNotNull())
+        nodes = checkpointed(known.groupBy("node", "vector").agg(F.min("vec_id").alias("label"), F.count("*").alias("copies")))
+        if nodes.groupBy("node").count().where("count > 1").isEmpty():
+            return named, nodes
+    raise RuntimeError("hashes of vectors clash")
+
+
+def same_id(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes that share a vec_id."""
+    known = rows.where(F.col("node").isNotNull() & F.col("vec_id").isNotNull()).select("vec_id", "node")
+    least = known.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").select("vec_id", "a")
+    return known.join(least, "vec_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
 
 
 def windows(nodes: DataFrame, seed: int, weak: int = 0) -> DataFrame:
@@ -348,12 +360,18 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         if recall(nodes, parts, turn) >= RECALL:
             break
     else:
-        parts = checkpointed(components(links.unionByName(joined(nodes, parts))))
+        links = links.unionByName(joined(nodes, parts))
+        parts = checkpointed(components(links))
 
-    # linked nodes count by their copies
+    # linked nodes count by their copies; what only a vec_id ties is one component, but no link
     known = nodes.join(parts, "node", "left").join(counted(nodes, parts.withColumnRenamed("component", "part")), "node", "left")
-    known = known.select("vector", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("component", "node").alias("component_id"))
-    out = rows.join(known, "vector", "left").select(
+    ties = checkpointed(same_id(rows))
+    if not ties.isEmpty():
+        parts = checkpointed(components(links.unionByName(ties)))
+    whole = nodes.select("node", "label").join(parts, "node", "left").select("node", "label", F.coalesce("component", "node").alias("part"))
+    label = whole.groupBy("part").agg(F.min("label").alias("component_id"))
+    known = known.select("node", F.coalesce("links", F.lit(0)).alias("links"), "copies").join(whole.join(label, "part").select("node", "component_id"), "node")
+    out = rows.select("vec_id", "node").join(known, "node", "left").select(
         "vec_id", F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     )
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

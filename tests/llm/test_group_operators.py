@@ -133,6 +133,14 @@ def test_vectors_beside_a_hot_group(spark, monkeypatch, rounds):
         assert sum(got[i] == want[i] for i in range(400, len(rows))) >= 0.97 * (len(rows) - 400)
 
 
+def test_vectors_of_one_id(spark):
+    """No vector is dropped when rows share a vec_id; they are one component."""
+    a, b = [0.0, 1.0, 0.0], [1.0, 0.0, 0.0]
+    rows = [(1, a), (1, b), (7, b), (8, [1.0, 0.0, 0.1]), (9, [0.0, 0.0, 1.0])]
+    got = sorted((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (7, 2, 1, False), (8, 2, 1, False), (9, 0, 9, True)]
+
+
 def labelled(spark, n):
     rows, marks = [], []
     for i in range(n):
