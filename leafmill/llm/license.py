@@ -1,8 +1,11 @@
 """Operator 8: license scans by sentence rules.
 
-A text is cut into sentences; each is normalised to lower-case letters, digits
-and dots and looked up among the known sentences of licence notices, which
-gives the text a sequence of sentence identifiers.  An ordered list of rules is
+A text is cut into sentences at blank lines and sentence ends, after comment
+marks at line starts are stripped; other line ends are white space, so wrapped
+notices are read whole.  A line that is a known sentence by itself stands alone.
+Each sentence is normalised to lower-case letters, digits and dots and gets the
+identifier of the longest known sentence of licence notices that it contains,
+which gives the text a sequence of sentence identifiers.  An ordered list of rules is
 then matched against that sequence: a rule names identifiers that must follow
 one another, in that order, with no other *known* sentence between them, and a
 licence.  Earlier rules take their sentences before later ones see them, so a
@@ -66,27 +69,70 @@ RULES = (
     (("cc_by",), "CC-BY-4.0"),
 )
 
-#: Where sentences end: at line ends, semicolons and colons, and after stops before white space.
-SPLIT = "[\\n;:]+|[.!?]+[ \\t\\r]+|[.!?]+$"
+#: More known sentences, by identifier; the SQL twin knows only the tables above.
+MORE_SENTENCES = (
+    ("bsd_name", "contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("gpl_terms_2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl_terms_3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl_hope", "this program is distributed in the hope that it will be useful"),
+    ("gpl_version21", "either version 2.1 of the license or at your option any later version"),
+    ("lgpl_terms", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl_terms_21", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version"),
+    ("lgpl_terms_3", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl_terms", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl_terms_3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("mpl2", "this source code form is subject to the terms of the mozilla public license v"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+)
+
+#: More rules, after the others. A comma joins the terms of GPL version 3 and its version in one
+#: sentence; it counts in the whole notice, which goes on with the lack of a warranty.
+MORE_RULES = (
+    (("gpl_free", "gpl_terms_3", "gpl_hope"), "GPL-3.0-or-later"),
+    (("gpl_free", "gpl_terms_2", "gpl_hope"), "GPL-2.0-or-later"),
+    (("lgpl_terms", "gpl_version21"), "LGPL-2.1-or-later"),
+    (("lgpl_terms", "gpl_version3"), "LGPL-3.0-or-later"),
+    (("lgpl_terms_21",), "LGPL-2.1-or-later"),
+    (("lgpl_terms_3",), "LGPL-3.0-or-later"),
+    (("agpl_terms", "gpl_version3"), "AGPL-3.0-or-later"),
+    (("agpl_terms_3",), "AGPL-3.0-or-later"),
+    (("mpl2",), "MPL-2.0"),
+    (("isc",), "ISC"),
+    (("unlicense",), "Unlicense"),
+)
+
+#: What is stripped from line starts, and where sentences end: at blank lines, semicolons and
+#: colons, and after stops (with closing marks) before white space.
+MARKS = "(?m)^[^A-Za-z0-9\\n]+"
+SPLIT = "\\n\\n+|[;:]+|[.!?]+[\"')\\]*]*(?=\\s|$)"
+#: Every known sentence holds one of these.
+HINTS = "(?i)licen|permi|copy|softw|redist|neither the name|version|in the hope"
 #: What normalising turns into one blank: all but ASCII letters, digits and dots inside words.
 STRANGE, STOPS = "[^a-z0-9.]+", "\\.+( |$)"
 
 
 def identifiers(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    names = F.create_map(*(F.lit(x) for pair in ((v, k) for k, v in SENTENCES.items()) for x in pair))
-    longest, shortest = max(map(len, SENTENCES.values())), min(map(len, SENTENCES.values()))
-    # a sentence whose raw length is out of all bounds needs no normalising
-    raw = F.filter(F.split(F.coalesce(text, F.lit("")), SPLIT), lambda s: (F.length(s) >= shortest) & (F.length(s) <= 4 * longest) & s.rlike("(?i)licen|permi|copy|softw|redist|neither the name|version"))
-    plain = F.transform(raw, lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), STRANGE, " "), STOPS, " ")))
-    return F.filter(F.transform(plain, lambda s: F.try_element_at(names, s)), lambda x: x.isNotNull())
+    known = sorted([(v, k) for k, v in SENTENCES.items()] + [(v, k) for k, v in MORE_SENTENCES], key=lambda x: (-len(x[0]), x))
+    alone = F.array(*(F.lit(v) for v, _ in known))
+    longest = len(known[0][0])
+    plain = lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), STRANGE, " "), STOPS, " "))
+    raw = F.filter(F.split(F.regexp_replace(text, MARKS, ""), SPLIT), lambda s: s.rlike(HINTS) | F.contains(s, F.lit("\n")))
+    # a known line keeps its own place among the joined ones
+    lines = F.transform(raw, lambda s: F.transform(F.filter(F.split(s, "\n"), lambda x: F.length(x) <= 4 * longest), plain))
+    whole = F.transform(lines, lambda s: F.array_join(F.transform(s, lambda x: F.when(F.array_contains(alone, x), F.concat(F.lit("|"), x, F.lit("|"))).otherwise(x)), " "))
+    sentences = F.transform(F.flatten(F.transform(whole, lambda s: F.split(s, "[|]"))), lambda s: F.concat(F.lit(" "), F.trim(s), F.lit(" ")))
+    found = F.transform(sentences, lambda s: F.coalesce(*(F.when(F.contains(s, F.lit(f" {v} ")), F.lit(k)) for v, k in known)))
+    return F.when(text.rlike(HINTS), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def licenses(found: Column) -> Column:
     """The licences of a sequence of identifiers, by the ordered rules, without repeats."""
     joined = F.concat(F.lit("|"), F.array_join(F.transform(found, lambda x: F.concat(x, F.lit("|"))), ""))
     out = []
-    for parts, name in RULES:
+    for parts, name in (*RULES, *MORE_RULES):
         pattern = "|" + "|".join(parts) + "|"
         out.append(F.when(F.contains(joined, F.lit(pattern)), F.lit(name)))
         # taken sentences leave a mark that no rule names, so that others do not close up
