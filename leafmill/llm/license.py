@@ -117,11 +117,10 @@ def identifiers(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
     known = sorted([(v, k) for k, v in SENTENCES.items()] + [(v, k) for k, v in MORE_SENTENCES], key=lambda x: (-len(x[0]), x))
     alone = F.array(*(F.lit(v) for v, _ in known))
-    longest = len(known[0][0])
     plain = lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), STRANGE, " "), STOPS, " "))
     raw = F.filter(F.split(F.regexp_replace(text, MARKS, ""), SPLIT), lambda s: s.rlike(HINTS) | F.contains(s, F.lit("\n")))
     # a known line keeps its own place among the joined ones
-    lines = F.transform(raw, lambda s: F.transform(F.filter(F.split(s, "\n"), lambda x: F.length(x) <= 4 * longest), plain))
+    lines = F.transform(raw, lambda s: F.transform(F.split(s, "\n"), plain))
     whole = F.transform(lines, lambda s: F.array_join(F.transform(s, lambda x: F.when(F.array_contains(alone, x), F.concat(F.lit("|"), x, F.lit("|"))).otherwise(x)), " "))
     sentences = F.transform(F.flatten(F.transform(whole, lambda s: F.split(s, "[|]"))), lambda s: F.concat(F.lit(" "), F.trim(s), F.lit(" ")))
     found = F.transform(sentences, lambda s: F.coalesce(*(F.when(F.contains(s, F.lit(f" {v} ")), F.lit(k)) for v, k in known)))

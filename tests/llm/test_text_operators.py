@@ -195,6 +195,13 @@ def test_wrapped_notices(spark):
     assert [(got[i], t) for i, (_, t) in enumerate(rows)] == rows
 
 
+def test_padded_notice(spark):
+    """Padding that normalising removes does not hide a notice, however long it is."""
+    rows = [(1, "*" * 3000 + " Released under the MIT License " + "*" * 3000), (2, "# Licensed under" + " " * 5000 + "CC BY 4.0 #")]
+    got = {r["doc_id"]: r["licenses"] for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: "CC-BY-4.0"}
+
+
 def test_fingerprints(documents, none):
     rows = fingerprint.fingerprints(documents)
     got = rows.collect()
