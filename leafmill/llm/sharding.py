@@ -9,9 +9,11 @@ written under a temporary name and renamed, which either happens or does not,
 so a reader sees one version or the next one; a writer that finds its version
 taken fails and can try again on the newer one.
 
-Rows are dealt to shards by the tasks that read them, without a shuffle, so no
-key, source or copy group decides a shard's size.  Everything is DataFrame code; files are touched
-through the file system that the store's path names.
+Rows are dealt in turn to as many tasks as there are shards, each of which writes
+one file, so no key, source, copy group or input split decides a shard's size.  A
+shard that still exceeds the target by half is split when the store is compacted.
+Everything is DataFrame code; files are touched through the file system that the
+store's path names.
 
 Defined edge cases: null texts count no bytes; repeated rows are kept as often
 as they arrive; an empty arrival commits a version that names no new shard; all
@@ -90,17 +92,16 @@ class Store:
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.smallest, self.fan)) + 1) if size >= self.smallest else 0
 
-    def _write(self, rows: DataFrame, made: int, shards: int, merge: bool = False) -> list[dict]:
-        """``rows`` as so many immutable shards, each a folder, and their manifest entries."""
+    def _write(self, rows: DataFrame, made: int, shards: int) -> list[dict]:
+        """``rows`` as so many immutable shards, each a folder with one file, and their manifest entries."""
         name = _free("shard", rows.columns)
         batch = uuid.uuid4().hex
         size = F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in rows.columns else F.lit(0)
-        # rows stay where they are read: an arrival's tasks share its shards out among them, a
-        # merge's tasks are as many as its shards; nothing is shuffled, so no key decides a size
-        dealt = rows.coalesce(shards) if merge else rows
-        dealt = dealt.withColumn(name, (F.spark_partition_id() % shards).cast("int"))
+        # in turn, not by a key: a hot value cannot fill one shard; one task writes one shard
+        dealt = rows.repartition(shards)
+        dealt = dealt.withColumn(name, F.spark_partition_id().cast("int"))
         folder = f"{self.path}/shards/{batch}"
-        dealt.write.partitionBy(name).parquet(folder)
+        dealt.write.option("maxRecordsPerFile", 0).partitionBy(name).parquet(folder)
         written = self.spark.read.schema(dealt.schema).parquet(folder)  # an empty arrival has no file to tell it
         counts = written.groupBy(name).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()  # one row for each shard
         return [{"name": f"{batch}/{name}={r[0]}", "rows": r[1], "bytes": r[2] or 0, "tier": self.tier(r[2] or 0), "made": made} for r in sorted(counts)]
@@ -121,24 +122,28 @@ class Store:
         return rows.withColumn(label, F.regexp_extract(F.input_file_name(), r"shards/([0-9a-f]+/[^/]+)/", 1))
 
     def compact(self) -> int | None:
-        """Merges the lowest tier that is full; the new version, or None if no tier is."""
+        """Splits shards over the target, or merges the lowest tier that is full; the new version, or None if neither is there."""
         after = self.version()
         live = self.manifest(after)
+        large = [s for s in live if s["bytes"] > self.target * 3 // 2 and s["rows"] > 1]
         tiers: dict[int, list[dict]] = {}
         for s in live:
             if s["bytes"] < self.target * 3 // 4:
                 tiers.setdefault(s["tier"], []).append(s)
         full = [t for t in sorted(tiers) if len(tiers[t]) >= self.fan]
-        if not full:
+        if large:
+            run = large[:1]  # in turn at least halves the rows, so this ends
+        elif full:
+            run = sorted(tiers[full[0]], key=lambda s: (s["made"], s["name"]))
+        else:
             return None
-        run = sorted(tiers[full[0]], key=lambda s: (s["made"], s["name"]))
         total = sum(s["bytes"] for s in run)
-        merged = self._write(self.read(run), after + 1, max(1, round(total / self.target)), merge=True)
+        merged = self._write(self.read(run), after + 1, max(1, math.ceil(total / self.target) if large else round(total / self.target)))
         gone = {s["name"] for s in run}
         return self.commit([s for s in live if s["name"] not in gone] + merged, after)
 
     def settle(self) -> int:
-        """Compacts until no tier is full; the last version."""
+        """Compacts until no tier is full and no shard too large; the last version."""
         while self.compact() is not None:
             pass
         return self.version()
@@ -167,9 +172,8 @@ def shard(docs: DataFrame, path: str, arrivals: int = 6, **sizes) -> DataFrame:
     hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals))
     for k in range(arrivals):
         store.append(docs.where(hashed == k))
-        store.compact()
-    store.settle()
-    store.vacuum()
+        store.settle()
+        store.vacuum()  # what a merge replaced goes before the next arrival
     live = store.manifest()
     if not live:
         return docs.limit(0).select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("shard_bytes"))

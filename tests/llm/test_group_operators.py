@@ -189,6 +189,23 @@ def test_shards(spark, documents, tmp_path):
     assert sum(s["rows"] for s in store.manifest()) == 4 * held.count()
 
 
+@pytest.mark.parametrize("tasks", [1, 24])
+def test_shard_files(spark, tmp_path, tasks):
+    """Shards are one file of about the target, from many tasks or one, with a hot text."""
+    rows = [(i, "hot" * 100 if i % 2 else prose(i, 50)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks)
+    store = sharding.Store(spark, str(tmp_path / "s"), target=100_000, smallest=2_000)
+    store.append(docs)
+    for _ in range(2):
+        live = store.manifest()
+        assert all(40_000 < s["bytes"] <= 150_000 for s in live) and sum(s["rows"] for s in live) == 3000
+        assert all(len(list((tmp_path / "s" / "shards" / s["name"]).glob("*.parquet"))) == 1 for s in live)
+        store.settle()
+    grown = sharding.Store(spark, str(tmp_path / "s"), target=30_000, smallest=2_000)
+    grown.settle()
+    assert all(s["bytes"] <= 45_000 for s in grown.manifest()) and sum(s["rows"] for s in grown.manifest()) == 3000
+
+
 def test_sharded_query(spark, documents, none, tmp_path):
     got = sharding.shard(documents, str(tmp_path / "a"), target=50_000, smallest=2_000).toPandas()
     assert len(got) == documents.count()
