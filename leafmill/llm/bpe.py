@@ -388,7 +388,11 @@ class ByteLevel:
 
 
 def sliced(batches, chars: int = BATCH_CHARS):
-    """Arrow record batches cut so that each holds about ``chars`` bytes of its texts."""
+    """Arrow record batches cut so that each holds about ``chars`` bytes of its texts.
+
+    Every part is copied to buffers of its own: Arrow's kernels on strings misread
+    the offsets of a slice that has been cast.
+    """
     for batch in batches:
         text = batch.column(batch.schema.get_field_index("text"))
         size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
@@ -396,7 +400,8 @@ def sliced(batches, chars: int = BATCH_CHARS):
         while at < batch.num_rows:
             base = size[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(size, base + chars, side="right")))
-            yield batch.slice(at, to - at)
+            part = batch.slice(at, to - at)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], part.schema.names)
             at = to
 
 

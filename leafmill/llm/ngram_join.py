@@ -78,10 +78,10 @@ class Sets(NamedTuple):
 def shingle_sets(texts: pa.Array) -> Sets:
     """The sets of whole texts: A-Z lower-cased, words between ASCII white space."""
     n = len(texts)
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    split = pc.ascii_split_whitespace(pc.fill_null(pa.concat_arrays([texts]).cast(pa.large_string()), ""))
     size = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = split.flatten().dictionary_encode()
-    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    words = [w.lower() for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]  # bytes lower only A-Z
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
     empty = np.fromiter((not w for w in words), bool, len(words))
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)

@@ -41,8 +41,8 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
 
 
-def check_join(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+def check_join(spark, rows, tasks=4):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks)
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs).collect()), key=str)
     sets = [shingles(t) for _, t in rows]
     links = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] == rows[j][0] and sets[i] and sets[j] or sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
@@ -70,6 +70,13 @@ def test_join_hot_groups(spark):
     check_join(spark, list(enumerate(rows)))
 
 
+def test_join_several_slices(spark, monkeypatch):
+    """A batch is cut into many parts; every part reads its own texts."""
+    monkeypatch.setattr(ngram_join, "CHARS", 3000)
+    rows = [(k, prose(k % 40, 30 + k % 40).capitalize()) for k in range(300)] + [(300, None), (301, "")]
+    check_join(spark, rows, 1)
+
+
 def test_join_empty(spark, none):
     assert ngram_join.join(none).count() == 0
 

@@ -13,7 +13,7 @@ from conftest_llm import edited, prose, texts  # noqa: F401
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
 
-from leafmill.llm import bpe, fingerprint, html, license, packing, secrets  # noqa: E402
+from leafmill.llm import bpe, fingerprint, html, license, ngram_join, packing, secrets  # noqa: E402
 
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -56,6 +56,25 @@ def test_scan_and_redact(documents, none):
     assert clean.where("text IS NULL").count() == documents.where("text IS NULL").count()
 
 
+def test_slices():
+    """Parts of a batch hold their own texts, whatever kernel reads them: all users see what a whole batch gives."""
+    rows = [t for k in range(8) for t in (*texts()[:-6], prose(k, 50).upper(), "Token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff")]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows)], ["doc_id", "text"])
+    parts = list(bpe.sliced([whole.slice(3)], 5000))
+    assert len(parts) > 4 and [t for p in parts for t in p.column(1).to_pylist()] == rows[3:] and all(c.offset == 0 for p in parts for c in p.columns)
+    byte, word = bpe.ByteLevel(public.path("byte_bpe_50k.json")), packing.WordBpe(public.path("word_bpe_49k.json"))
+    at = 3
+    for part in parts:
+        alone, here = pa.array(part.column(1).to_pylist(), pa.string()), part.column(1)
+        for coder in (byte, word):
+            assert all((a == b).all() for a, b in zip(coder.encode(here), coder.encode(alone), strict=True))
+        assert secrets.found(here) == secrets.found(alone)
+        assert (ngram_join.shingle_sets(here).values == ngram_join.shingle_sets(alone).values).all()
+        view = whole.slice(at, part.num_rows).column(1)  # not even a slice that nobody compacted is misread
+        assert (ngram_join.shingle_sets(view).values == ngram_join.shingle_sets(alone).values).all()
+        at += part.num_rows
+
+
 def test_bpe(documents, none):
     tk = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     got = bpe.encode_decode(documents, public.path("byte_bpe_50k.json"), with_ids=True).collect()
