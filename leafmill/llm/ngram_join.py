@@ -1,19 +1,24 @@
 """Operator 3: an exact n-gram Jaccard join by T-occurrence search.
 
 A document's set holds the hashes of its five-word shingles.  A partner at the
-threshold shares at least T = ceil(0.8 n) of a set's n shingles, so it must
-turn up in the inverted lists of any n - T + 1 of them.  As in DivideSkip the
-lists are divided: the n - T + 1 shortest ones are merged, and the T - 1 longest
-are never read; a candidate's overlap with them is found by binary probes of
-the partner's sorted set.  "Short" is a global order of the shingles, the known
-frequent ones last and hashes otherwise, which keeps the result exact whatever
-was counted as frequent.
+threshold shares at least T = ceil(0.8 n) of a set's n shingles.  As in DivideSkip
+the inverted lists of a set are divided: L = T - k of them, the longest, are set
+aside, and the n - L short ones are merged.  A candidate must turn up in k of the
+short lists, k = 1 + (T - 1) // ``SKIP``; the occurrences are counted in sorted
+runs of the lists and added up for each pair.  Only then are its whole sets
+fetched, and its overlap is found by binary probes of the partner's sorted set.
+"Short" is a global order of the shingles, the known frequent ones last and hashes
+otherwise, which keeps the result exact whatever was counted as frequent.  (Of the
+first k common shingles none can lie behind the n - T + k first ones of either set.)
 
 Large groups of copies are not expanded into pairs.  Equal sets are one node.
 Nodes that share a MinHash value are probed against the group's least node
-first, and a list whose nodes already hang together yields no pairs.  Lists of
-frequent shingles get two rounds of such stars; nodes whose lists are then still
-apart are compared across their parts, block by block, and only there.
+first, and nodes that already hang together yield no pairs.  The lists are dealt
+by ranges of (shingle, node), so that a hot one is spread over tasks; lists of more
+than ``HOT`` nodes, and those that a border between tasks cuts, are not merged.
+They and the lists of frequent shingles get two rounds of stars, each against one
+node of the list; nodes whose lists are then still apart are compared across their
+parts, block by block, and only where their sizes allow a link.
 
 Defined edge cases: a text without words, or null, has an empty set, links with
 nothing and is its own component; fewer than five words are one shingle; rows
@@ -35,14 +40,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.bpe import ragged, sliced
-from leafmill.llm.common import checkpointed
+from leafmill.llm.common import checkpointed, shuffle_partitions
 from leafmill.llm.graph import components
 
 WORDS = 5
 #: Likeness as a fraction of whole numbers, so that its test is exact.
 NUMERATOR, DENOMINATOR = 80, 100
-#: MinHash values that bring nodes to their group's least node.
-STARS = 4
+#: Of the occurrences that a set needs, one in so many is asked of the short lists, after the first one.
+SKIP = 12
+#: Longer lists are not merged but searched by stars and blocks.
+HOT = 64
+#: MinHash values that bring nodes to their group's least node, and the least shingles that tell beforehand
+#: whether a star is worth a look: so many of LOW must be shared.
+STARS, LOW, LOW_SHARED = 4, 8, 4
 #: The most frequent shingles that are put last, at most so many (8 bytes each).
 FREQUENT = 1_000_000
 #: Shingles counted so often (in batches where they repeat) are frequent.
@@ -75,15 +85,25 @@ class Sets(NamedTuple):
         return np.cumsum(self.sizes) - self.sizes
 
 
+def sorted_by(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and values in the order of (owner, value); the owners, which are small, by radix."""
+    order = np.argsort(value)
+    owner = owner[order].astype(np.uint16) if owner.max(initial=0) < 65536 else owner[order]
+    turn = np.argsort(owner, kind="stable")
+    return owner[turn].astype(np.int64), value[order[turn]]
+
+
 def shingle_sets(texts: pa.Array) -> Sets:
     """The sets of whole texts: A-Z lower-cased, words between ASCII white space."""
     n = len(texts)
     split = pc.ascii_split_whitespace(pc.fill_null(pa.concat_arrays([texts]).cast(pa.large_string()), ""))
     size = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = split.flatten().dictionary_encode()
-    words = [w.lower() for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]  # bytes lower only A-Z
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    empty = np.fromiter((not w for w in words), bool, len(words))
+    words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, map(bytes.lower, words)), np.uint64, len(words))  # bytes lower only A-Z
+    empty = np.zeros(len(words), bool)
+    if b"" in words:  # the ends of a text that begins or ends with white space
+        empty[words.index(b"")] = True
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     doc = np.repeat(np.arange(n), size)
     if empty.any():
@@ -103,15 +123,21 @@ def shingle_sets(texts: pa.Array) -> Sets:
         owners.append(np.repeat(which, many))
         parts.append(mixed(total) >> np.uint64(1))
     owner, value = np.concatenate(owners), np.concatenate(parts).astype(np.int64)
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
+    owner, value = sorted_by(value, owner)
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
     return Sets(value[new], np.bincount(owner[new], minlength=n))
 
 
+def divided(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets of these sizes: how many short lists are merged, and in how many of them a partner must turn up."""
+    needed = -(-NUMERATOR * sizes // DENOMINATOR)
+    asked = 1 + (needed - 1) // SKIP
+    return np.where(sizes > 0, sizes - needed + asked, 0), asked
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n, key and MinHash values; kind 1: a shingle that repeats in a batch, and how often."""
+    """kind 0: doc_id, n, key, MinHash values and least shingles; kind 1: a shingle that repeats in a batch, and how often."""
 
     def run(batches):
         for batch in sliced(batches, CHARS):
@@ -127,22 +153,24 @@ def signatures(docs: DataFrame) -> DataFrame:
             mins: list = [None] * batch.num_rows
             for i, row in zip(some.tolist(), least.T.tolist(), strict=True):
                 mins[i] = row
-            yield rows(0, batch.column(0).cast(pa.int64()), pa.array(sets.sizes), pa.array(keys, pa.binary()), pa.array(mins, pa.list_(pa.int64())))
+            few = np.minimum(sets.sizes, LOW)
+            low = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(few)]).astype(np.int32)), pa.array(sets.values[ragged(sets.starts, few)]))
+            yield rows(0, batch.column(0).cast(pa.int64()), pa.array(sets.sizes), pa.array(keys, pa.binary()), pa.array(mins, pa.list_(pa.int64())), low)
             # equal sets are one node, so they count once
             first = np.array(sorted({k: i for i, k in reversed(list(enumerate(keys))) if k}.values()), np.int64)
             values, many = np.unique(sets.values[ragged(sets.starts[first], sets.sizes[first])], return_counts=True)
             again = many > 1
             n = int(again.sum())
-            yield rows(1, pa.array(values[again]), pa.array(many[again]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())))
+            yield rows(1, pa.array(values[again]), pa.array(many[again]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64())))
 
     def rows(kind, *columns):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *columns], ["kind", "doc_id", "n", "key", "mins"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *columns], ["kind", "doc_id", "n", "key", "mins", "low"])
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, key binary, mins array<long>")
+    return docs.mapInArrow(run, "kind int, doc_id long, n long, key binary, mins array<long>, low array<long>")
 
 
 def shortest_lists(docs: DataFrame, frequent) -> DataFrame:
-    """doc_id, n and the n - T + 1 first shingles of its set, with those that are frequent apart."""
+    """doc_id, n and the first shingles of its set, as many as are merged, with those that are frequent apart."""
 
     def run(batches):
         last = frequent.value
@@ -152,11 +180,10 @@ def shortest_lists(docs: DataFrame, frequent) -> DataFrame:
             value = sets.values
             at = np.minimum(np.searchsorted(last, value), max(0, len(last) - 1))
             hot = last[at] == value if len(last) else np.zeros(len(value), bool)
-            order = np.lexsort((value, hot, owner))
+            key = owner * 2 + hot  # the sets are sorted by value already
+            order = np.argsort(key.astype(np.uint16) if key.max(initial=0) < 65536 else key, kind="stable")
             owner, value, hot = owner[order], value[order], hot[order]
-            needed = -(-NUMERATOR * sets.sizes // DENOMINATOR)
-            taken = np.where(sets.sizes > 0, sets.sizes - needed + 1, 0)
-            pick = ragged(sets.starts, taken)
+            pick = ragged(sets.starts, divided(sets.sizes)[0])
             owner, value, hot = owner[pick], value[pick], hot[pick]
             lists = []
             for which in (~hot, hot):
@@ -168,57 +195,77 @@ def shortest_lists(docs: DataFrame, frequent) -> DataFrame:
 
 
 def across(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that meet in a list but are of different parts and of fitting sizes.
+    """The merge of the short lists: (a, b, many, asked) of pairs of nodes, and (token) alone of lists to be searched otherwise.
 
-    ``entries`` has token, node, part and n.  Lists are read as sorted runs; a
-    long one is paired block by block, and nothing but the run is held.
+    ``entries`` has token, node, part and n.  Lists are read as sorted runs.  A
+    pair of different parts and of fitting sizes counts once for each list that
+    holds both; ``many`` is what one task counted, ``asked`` the sum it needs.
     """
 
-    def pairs(node, part, n):
-        found = []
-        for at in range(0, len(node), 512):
-            i, j = np.meshgrid(np.arange(at, min(at + 512, len(node))), np.arange(at, len(node)), indexing="ij")
-            ok = (j > i) & (part[i] != part[j]) & (DENOMINATOR * np.minimum(n[i], n[j]) >= NUMERATOR * np.maximum(n[i], n[j]))
-            found.append(np.column_stack([node[i[ok]], node[j[ok]]]))
-        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-
-    def work(token, node, part, n):
-        """Pairs of all whole runs of sorted entries."""
-        new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(new, len(token)))
-        parts = []
-        for s in np.unique(size[(size > 1) & (size <= 16)]).tolist():  # short lists of equal length at once
+    def counts(token, node, part, n, size, new):
+        """Pairs of all given runs, by their starts and sizes, with their occurrences."""
+        known, code = np.unique(node, return_inverse=True)
+        asked = divided(n)[1]
+        keys, needs = [], []
+        for s in np.unique(size[size > 1]).tolist():  # lists of equal length at once
             base = new[size == s]
-            for i in range(s):
-                for j in range(i + 1, s):
-                    a, b = base + i, base + j
-                    ok = (part[a] != part[b]) & (DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b]))
-                    parts.append(np.column_stack([node[a[ok]], node[b[ok]]]))
-        for k in np.flatnonzero(size > 16).tolist():
-            run = slice(new[k], new[k] + size[k])
-            if (part[run] != part[new[k]]).any():
-                parts.append(pairs(node[run], part[run], n[run]))
-        out = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
-        return np.unique(np.sort(out, axis=1), axis=0)
+            for step in range(1, s):
+                a = (base[:, None] + np.arange(s - step)).ravel()
+                b = a + step
+                ok = (part[a] != part[b]) & (DENOMINATOR * np.minimum(n[a], n[b]) >= NUMERATOR * np.maximum(n[a], n[b]))
+                a, b = a[ok], b[ok]
+                keys.append(np.minimum(code[a], code[b]) * len(known) + np.maximum(code[a], code[b]))
+                needs.append(np.minimum(asked[a], asked[b]))
+        if not keys:
+            return pairs_of(*(np.zeros(0, np.int64),) * 4)
+        key, first, many = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+        return pairs_of(known[key // max(1, len(known))], known[key % max(1, len(known))], many, np.concatenate(needs)[first])
+
+    def pairs_of(a, b, many, asked):
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x.astype(np.int64))) for x in (a, b, many, asked)] + [pa.nulls(len(a), pa.int64())], ["a", "b", "many", "asked", "token"])
+
+    def tokens_of(token):
+        nothing = pa.nulls(len(token), pa.int64())
+        return pa.RecordBatch.from_arrays([nothing] * 4 + [pa.array(np.ascontiguousarray(token))], ["a", "b", "many", "asked", "token"])
 
     def run(batches):
         held = np.zeros((4, 0), np.int64)
+        apart: set[int] = set()  # tokens whose lists are not merged here
+
+        def work(rows):
+            token = rows[0]
+            new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            size = np.diff(np.append(new, len(token)))
+            other = (size > HOT) | np.isin(token[new], list(apart))
+            yield tokens_of(token[new[other]])
+            yield counts(*rows, size[~other], new[~other])
+
         for batch in batches:
-            held = np.hstack([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])])
-            if held.shape[1] < 200_000:
-                continue
-            cut = int(np.searchsorted(held[0], held[0, -1]))  # the last run may go on
-            if cut:
-                yield batch_of(work(*held[:, :cut]))
+            more = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            if more.shape[1] and not apart:
+                apart.add(int(more[0, 0]))  # a list may begin in the task before
+            held = np.hstack([held, more])
+            while held.shape[1] >= 100_000:
+                cut = int(np.searchsorted(held[0], held[0, -1]))  # the last run may go on
+                if not cut:  # nothing but one long list, of which one entry stands for all
+                    apart.add(int(held[0, 0]))
+                    held = held[:, -1:]
+                    break
+                cut = int(np.searchsorted(held[0], held[0, min(cut, 100_000) - 1], side="right"))
+                yield from work(held[:, :cut])
                 held = held[:, cut:]
         if held.shape[1]:
-            yield batch_of(work(*held))
+            apart.add(int(held[0, -1]))  # or go on in the task after
+            yield from work(held)
+
+    dealt = entries.select("token", "node", "part", "n")
+    dealt = dealt.repartitionByRange(shuffle_partitions(entries.sparkSession), "token", "node").sortWithinPartitions("token", "node")
+    return dealt.mapInArrow(run, "a long, b long, many long, asked long, token long")
 
-    def batch_of(out):
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, 0])), pa.array(np.ascontiguousarray(out[:, 1]))], ["a", "b"])
 
-    dealt = entries.select("token", "node", "part", "n").repartition("token").sortWithinPartitions("token", "node")
-    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs``, without those that are not in ``ids`` (doc_id) if these are few enough to be broadcast."""
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else docs
 
 
 def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -249,33 +296,37 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     pairs = checkpointed(pairs)
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    docs = texts_of(docs, ids)
     left, right = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), docs.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
     texts = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return checkpointed(texts.mapInArrow(run, "a long, b long").distinct())
 
 
 def between(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that tie the parts of each family together; members have node, family and part.
+    """Links (a, b) that tie the parts of each family together; members have node, n, family and part.
 
-    A family is cut into blocks, a large part into blocks of its own, and each
-    two blocks are compared in a task of their own, but not two of one part.
+    A family is cut into bands of sizes, of which only neighbours can hold links,
+    and these into blocks, a large part into blocks of its own.  Each two blocks
+    are compared in a task of their own, but not two of one part.
     Overlaps are counted for all pairs at once from the shingles that both
     blocks know.  Of the links found only as many leave as join parts anew.
     """
     sizes = members.groupBy("family", "part").agg(F.count("*").alias("size"))
-    held = members.join(sizes, ["family", "part"]).withColumn("group", F.when(F.col("size") >= BLOCK, F.col("part")))
-    groups = held.groupBy("family", "group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    same = (F.col("h.family") == F.col("g.family")) & F.col("h.group").eqNullSafe(F.col("g.group"))
-    dealt = held.alias("h").join(groups.alias("g"), same).select("h.family", "h.group", "h.part", "h.node", F.pmod(F.xxhash64("h.node"), F.col("g.blocks")).cast("int").alias("block"))
-    blocks = groups.select("family", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    name = F.concat_ws("/", F.coalesce(F.col("group").cast("string"), F.lit("-")), "block")
-    named, blocks = dealt.withColumn("name", name), blocks.withColumn("name", name)
-    left, right = (blocks.select("family", F.col("group").alias(f"g{k}"), F.col("name").alias(f"n{k}")) for k in (1, 2))
-    meet = left.join(right, "family").where("n1 <= n2 AND NOT coalesce(g1 = g2, false)")
+    # sizes of a link differ by a quarter at most, so its bands by one
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DENOMINATOR / NUMERATOR) + 1e-9)).cast("int")
+    held = members.join(sizes, ["family", "part"]).withColumn("group", F.when(F.col("size") >= BLOCK, F.col("part"))).withColumn("band", band)
+    groups = held.groupBy("family", "group", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    same = (F.col("h.family") == F.col("g.family")) & (F.col("h.band") == F.col("g.band")) & F.col("h.group").eqNullSafe(F.col("g.group"))
+    block = F.pmod(F.xxhash64("h.node"), F.col("g.blocks")).cast("int").alias("block")
+    dealt = held.alias("h").join(groups.alias("g"), same).select("h.family", "h.group", "h.band", "h.part", "h.node", block)
+    blocks = groups.select("family", "group", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    name = F.concat_ws("/", F.coalesce(F.col("group").cast("string"), F.lit("-")), "band", "block")
+    named, blocks = dealt.withColumn("name", name), checkpointed(blocks.withColumn("name", name))
+    left, right = (blocks.select("family", F.col("band").alias(f"b{k}"), F.col("group").alias(f"g{k}"), F.col("name").alias(f"n{k}")) for k in (1, 2))
+    left = left.withColumn("b2", F.explode(F.array("b1", F.col("b1") + 1)))
+    meet = left.join(right, ["family", "b2"]).where("(b1 < b2 OR n1 <= n2) AND NOT coalesce(g1 = g2, false)")
     meet = meet.select("family", F.explode(F.array_distinct(F.array("n1", "n2"))).alias("name"), F.concat_ws(" ", "n1", "n2").alias("pair"))
-    texts = named.join(docs.withColumnRenamed("doc_id", "node"), "node").select("family", "name", "node", "part", "text")
+    texts = named.join(texts_of(docs, members.select(F.col("node").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "node"), "node").select("family", "name", "node", "part", "text")
     rows = texts.join(meet, ["family", "name"]).select("family", "pair", "name", "node", "part", "text")
 
     def compare(table):
@@ -330,26 +381,35 @@ def join(docs: DataFrame) -> DataFrame:
     frequent = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
 
     # one node for each different set: the least document that has it
-    sets = checkpointed(own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.min("mins").alias("mins")))
+    sets = own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.min("mins").alias("mins"), F.min("low").alias("low"))
+    sets = checkpointed(sets)
     nodes = sets.where("node is not null")
-
-    # each node against the least node that shares one of its MinHash values
-    shared = nodes.select("node", F.posexplode("mins").alias("r", "value"))
-    leaders = shared.groupBy("r", "value").agg(F.min("node").alias("leader"), F.count("*").alias("many")).where("many > 1")
-    stars = shared.join(leaders, ["r", "value"]).where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    edges = linked(stars, docs)
+    every = nodes.select("node").distinct()
+
+    # each node against the least node that shares one of its MinHash values, if their least shingles are alike
+    shared = nodes.select("node", "low", F.posexplode("mins").alias("r", "value"))
+    leaders = shared.groupBy("r", "value").agg(F.min(F.struct("node", "low")).alias("leader"), F.count("*").alias("many")).where("many > 1")
+    alike = F.size(F.array_intersect("low", "leader.low")) >= F.least(F.lit(LOW_SHARED), (F.size("low") + 1) / 2)
+    stars = shared.join(leaders, ["r", "value"]).where((F.col("node") != F.col("leader.node")) & alike)
+    edges = linked(stars.select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct(), docs)
     parted = checkpointed(labelled(nodes.select("node", "n").distinct(), edges))
 
+    # occurrences in the short lists
     lists = shortest_lists(docs, frequent).join(parted.withColumnRenamed("node", "doc_id").drop("n"), "doc_id")
     lists = checkpointed(lists.select(F.col("doc_id").alias("node"), "part", "n", "short", "long"))
     short = lists.select(F.explode("short").alias("token"), "node", "part", "n")
-    more = linked(across(short), docs)
-    edges = edges.unionByName(more)
-
-    long = checkpointed(lists.where(F.size("long") > 0).select("node", "n", "long"))
+    merged = checkpointed(across(short))
+    candidates = merged.where("token is null").groupBy("a", "b").agg(F.sum("many").alias("many"), F.min("asked").alias("asked")).where("many >= asked")
+    edges = edges.unionByName(linked(candidates.select("a", "b"), docs))
+
+    # hot lists: a shared one is enough for a candidate
+    hot = merged.where("token is not null").select("token").distinct()
+    hot = short.select("token", "node", "n").join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot, "token", "left_semi")
+    hot = hot.unionByName(lists.select(F.explode("long").alias("token"), "node", "n"))
+    hot = checkpointed(hot.groupBy("node", "n").agg(F.collect_list("token").alias("tokens")))  # no more than a set's merged ones
     for turn in range(STAR_ROUNDS + 1):
-        parts = checkpointed(labelled(nodes.select("node").distinct(), edges))
-        now = long.join(parts, "node").select(F.explode("long").alias("token"), "node", "n", "part")
+        parts = checkpointed(labelled(every, edges))
+        now = hot.join(parts, "node").select(F.explode("tokens").alias("token"), "node", "n", "part")
         apart = now.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "part", "n")).alias("one")).where("low <> high")
         now = now.join(apart.select("token", "one"), "token")
         one = F.col("one")
@@ -359,9 +419,10 @@ def join(docs: DataFrame) -> DataFrame:
             edges = edges.unionByName(linked(star, docs))
         else:  # nodes that lists which are still apart bring together form a family
             met = components(now.select(F.col("node").alias("a"), one["node"].alias("b")).where("a <> b"))
-            edges = edges.unionByName(between(met.withColumnRenamed("component", "family").join(parts, "node"), docs))
+            sized = checkpointed(met.withColumnRenamed("component", "family").join(parts, "node").join(hot.select("node", "n"), "node"))
+            edges = edges.unionByName(between(sized, docs))
 
-    parts = labelled(nodes.select("node").distinct(), edges)
+    parts = labelled(every, edges)
     named = sets.join(parts, "node", "left").select("key", F.coalesce("part", "node").alias("component_id"))
     whole = own.join(named, "key", "left")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
