@@ -17,8 +17,9 @@ first, and nodes that already hang together yield no pairs.  The lists are dealt
 by ranges of (shingle, node), so that a hot one is spread over tasks; lists of more
 than ``HOT`` nodes, and those that a border between tasks cuts, are not merged.
 They and the lists of frequent shingles get two rounds of stars, each against one
-node of the list; nodes whose lists are then still apart are compared across their
-parts, block by block, and only where their sizes allow a link.
+node of the list.  A pair that no short list has must have all of its k occurrences
+in hot lists that are still apart, so only nodes with so many of them go on; these
+are compared across their parts, block by block, where their sizes allow a link.
 
 Defined edge cases: a text without words, or null, has an empty set, links with
 nothing and is its own component; fewer than five words are one shingle; rows
@@ -36,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.bpe import ragged, sliced
@@ -49,7 +50,7 @@ NUMERATOR, DENOMINATOR = 80, 100
 #: Of the occurrences that a set needs, one in so many is asked of the short lists, after the first one.
 SKIP = 12
 #: Longer lists are not merged but searched by stars and blocks.
-HOT = 64
+HOT = 16
 #: MinHash values that bring nodes to their group's least node, and the least shingles that tell beforehand
 #: whether a star is worth a look: so many of LOW must be shared.
 STARS, LOW, LOW_SHARED = 4, 8, 4
@@ -136,6 +137,11 @@ def divided(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(sizes > 0, sizes - needed + asked, 0), asked
 
 
+def asked_of(n: str) -> Column:
+    """``divided``'s second number, of a column of sizes."""
+    return F.expr(f"1 + (({NUMERATOR} * {n} + {DENOMINATOR - 1}) div {DENOMINATOR} - 1) div {SKIP}")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """kind 0: doc_id, n, key, MinHash values and least shingles; kind 1: a shingle that repeats in a batch, and how often."""
 
@@ -265,7 +271,14 @@ def across(entries: DataFrame) -> DataFrame:
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs``, without those that are not in ``ids`` (doc_id) if these are few enough to be broadcast."""
-    return docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_IDS else docs
+    ids = bounded(ids)
+    return docs.join(ids[0], "doc_id", "left_semi") if ids[1] else docs
+
+
+def bounded(df: DataFrame) -> tuple[DataFrame, bool]:
+    """``df``, to be broadcast if its rows are counted to be few, and whether they are."""
+    small = df.count() <= BROADCAST_IDS
+    return (F.broadcast(df) if small else df), small
 
 
 def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -399,28 +412,36 @@ def join(docs: DataFrame) -> DataFrame:
     lists = checkpointed(lists.select(F.col("doc_id").alias("node"), "part", "n", "short", "long"))
     short = lists.select(F.explode("short").alias("token"), "node", "part", "n")
     merged = checkpointed(across(short))
-    candidates = merged.where("token is null").groupBy("a", "b").agg(F.sum("many").alias("many"), F.min("asked").alias("asked")).where("many >= asked")
-    edges = edges.unionByName(linked(candidates.select("a", "b"), docs))
-
-    # hot lists: a shared one is enough for a candidate
     hot = merged.where("token is not null").select("token").distinct()
-    hot = short.select("token", "node", "n").join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot, "token", "left_semi")
-    hot = hot.unionByName(lists.select(F.explode("long").alias("token"), "node", "n"))
+    hot = short.select("token", "node", "n").join(bounded(hot)[0], "token", "left_semi").unionByName(lists.select(F.explode("long").alias("token"), "node", "n"))
     hot = checkpointed(hot.groupBy("node", "n").agg(F.collect_list("token").alias("tokens")))  # no more than a set's merged ones
+    # what short lists lack of the occurrences, hot ones may hold
+    most = bounded(checkpointed(hot.select("node", F.size("tokens").alias("most"))))[0]
+    candidates = merged.where("token is null").groupBy("a", "b").agg(F.sum("many").alias("many"), F.min("asked").alias("asked"))
+    for side in ("a", "b"):
+        candidates = candidates.join(most.select(F.col("node").alias(side), F.col("most").alias(f"most_{side}")), side, "left")
+    nothing = F.lit(0)
+    candidates = candidates.where(F.col("many") + F.least(F.coalesce("most_a", nothing), F.coalesce("most_b", nothing)) >= F.col("asked"))
+    edges = edges.unionByName(linked(candidates.select("a", "b"), docs))
+
     for turn in range(STAR_ROUNDS + 1):
         parts = checkpointed(labelled(every, edges))
         now = hot.join(parts, "node").select(F.explode("tokens").alias("token"), "node", "n", "part")
         apart = now.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "part", "n")).alias("one")).where("low <> high")
-        now = now.join(apart.select("token", "one"), "token")
-        one = F.col("one")
-        if turn < STAR_ROUNDS:  # a star around some node of the list
-            fits = DENOMINATOR * F.least("n", one["n"]) >= NUMERATOR * F.greatest("n", one["n"])
-            star = now.where((F.col("part") != one["part"]) & fits).select(F.least("node", one["node"]).alias("a"), F.greatest("node", one["node"]).alias("b")).distinct()
+        now = now.join(bounded(checkpointed(apart.select("token", "one")))[0], "token").select("node", "n", "part", "one")
+        if turn < STAR_ROUNDS:  # a star around some node of the lists
+            fits = DENOMINATOR * F.least("n", "one.n") >= NUMERATOR * F.greatest("n", "one.n")
+            star = now.where((F.col("part") != F.col("one.part")) & fits).groupBy("node", F.col("one.node").alias("other"), "n").agg(F.count("*").alias("many"))
+            star = star.where(F.col("many") * 2 >= asked_of("n")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
             edges = edges.unionByName(linked(star, docs))
         else:  # nodes that lists which are still apart bring together form a family
-            met = components(now.select(F.col("node").alias("a"), one["node"].alias("b")).where("a <> b"))
-            sized = checkpointed(met.withColumnRenamed("component", "family").join(parts, "node").join(hot.select("node", "n"), "node"))
-            edges = edges.unionByName(between(sized, docs))
+            held = now.groupBy("node", "n", "part").agg(F.count("*").alias("many"), F.collect_set("one.node").alias("others"))
+            # the smallest partner asks the least
+            held = checkpointed(held.where(F.col("many") >= asked_of(f"(({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR})")))
+            # the list's node need not be held itself, so it only names the family
+            met = components(held.select(F.col("node").alias("a"), F.explode("others").alias("b")).where("a <> b"))
+            family = held.drop("others", "many").join(met.withColumnRenamed("component", "family"), "node")
+            edges = edges.unionByName(between(checkpointed(family), docs))
 
     parts = labelled(every, edges)
     named = sets.join(parts, "node", "left").select("key", F.coalesce("part", "node").alias("component_id"))
