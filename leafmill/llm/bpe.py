@@ -5,7 +5,9 @@ all pieces advancing in lock step through one trie.  Verification tests every
 adjacent pair of proposed tokens at once: a pair is compatible when no merge
 that BPE would have applied earlier crosses their border.  A piece whose tokens
 are all reachable and pairwise compatible is exactly its BPE encoding; only the
-other pieces undergo exact merging, also in lock step.
+other pieces undergo exact merging, also in lock step.  In a piece of more than
+``LONG_PIECE`` bytes some proposal is all but sure to fail, so it is merged exactly
+at once, with a heap of its pairs, which takes n log n steps.
 
 Texts are cut at single blanks and newlines by Arrow kernels before anything is
 looked up, so the work that depends on content is done once per distinct piece
@@ -19,6 +21,7 @@ repeated rows give repeated results; an empty table gives an empty result; only
 
 from __future__ import annotations
 
+import heapq
 import json
 
 import numpy as np
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 #: Characters handled together by one worker.
 BATCH_CHARS = 8_000_000
-#: Pieces longer than this are merged by the exact path alone.
+#: Pieces of more bytes are merged one by one with a heap; the result is the same.
 LONG_PIECE = 256
 NO_RANK = np.iinfo(np.int64).max
 
@@ -110,6 +113,7 @@ class Bpe:
         left[c[::-1]], right[c[::-1]], rank[c[::-1]] = a[::-1], b[::-1], order[::-1]
         self.left, self.right, self.rank, self.made = left, right, rank, c
         self.pair = IntMap(a * size + b, order)
+        self.ranks: dict[int, int] | None = None  # the same as a dictionary, made when a long piece needs it
         back = {ch: i for i, ch in enumerate(chars)}
         self.bytes_of: list[bytes] = [b""] * size
         whole, strings = [], []
@@ -204,6 +208,38 @@ class Bpe:
         order = np.argsort(owner, kind="stable")
         return ids[order], np.bincount(owner, minlength=n)
 
+    def _merge_long(self, syms: np.ndarray) -> np.ndarray:
+        """Exact merging of one long piece: the first of the lowest-ranked pairs comes off a heap."""
+        if self.ranks is None:
+            held = self.pair.keys >= 0
+            self.ranks = dict(zip(self.pair.keys[held].tolist(), self.pair.values[held].tolist(), strict=True))
+        ranks, size, made, n = self.ranks, self.size, self.made.tolist(), len(syms)
+        token, after, before = syms.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        first = self.pair.get(syms[:-1] * size + syms[1:])
+        known = np.flatnonzero(first >= 0)
+        heap = (first[known] * n + known).tolist()  # rank, then place
+        heapq.heapify(heap)
+        while heap:
+            rank, at = divmod(heapq.heappop(heap), n)
+            right = after[at]
+            # what a merge has changed since it was pushed no longer has that rank
+            if token[at] < 0 or right >= n or ranks.get(token[at] * size + token[right]) != rank:
+                continue
+            token[at], token[right] = made[rank], -1
+            after[at] = end = after[right]
+            if end < n:
+                before[end] = at
+                new = ranks.get(token[at] * size + token[end])
+                if new is not None:
+                    heapq.heappush(heap, new * n + at)
+            left = before[at]
+            if left >= 0:
+                new = ranks.get(token[left] * size + token[at])
+                if new is not None:
+                    heapq.heappush(heap, new * n + left)
+        out = np.array(token, np.int64)
+        return out[out >= 0]
+
     def _speculate(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Greedy longest matches: (token, piece) in order, and which pieces got stuck."""
         end = b"\0" if self.suffix else b""
@@ -277,8 +313,11 @@ class Bpe:
         fits = self.compatible(pairs // self.size, pairs % self.size)
         stuck[owner[inner[~fits[which]]]] = True
         good = ~stuck[owner]
-        exact = np.concatenate([short[stuck], np.flatnonzero(lengths > LONG_PIECE)])
+        exact = short[stuck]
         parts = [(short[owner[good]], tok[good])]
+        for i in np.flatnonzero(lengths > LONG_PIECE).tolist():
+            got = self._merge_long(self._symbols([pieces[i]])[0])
+            parts.append((np.full(len(got), i), got))
         if len(exact):
             todo = [pieces[i] for i in exact]
             syms, starts = self._symbols(todo)
