@@ -148,17 +148,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     return fit(np.array(got["row"].tolist()), got["quality"].to_numpy() == 1)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of ``docs`` with ``quality_score``, from 0 to 1."""
+def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
+    """All rows and columns of ``docs`` with one more, ``name``, from 0 to 1."""
     from pyspark.sql.types import DoubleType, StructType
 
     place = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields]).add("quality_score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add(name, DoubleType())
 
     def run(batches):
         for batch in sliced(batches):
             rows = np.array([features(t) for t in batch.column(place).to_pylist()]).reshape(-1, 18)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(rows))], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(rows))], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 

@@ -3,11 +3,12 @@
 Arrivals are appended as small immutable shards.  A shard's tier is the power
 of ``FAN`` that its bytes reach above the smallest size.  When a tier holds
 ``FAN`` shards or more, runs of similar size are merged into files of about the
-target size; the old shards stay on disk until nothing names them.  A version
-of the store is a manifest: which shards are live and what they hold.  It is
-written under a temporary name and renamed, which either happens or does not,
-so a reader sees one version or the next one; a writer that finds its version
-taken fails and can try again on the newer one.
+target size; the old shards stay on disk until no version that is kept names them.
+A version of the store is a manifest: which shards are live and what they hold.  Its
+file is created only if it is not there, and ends with a mark; a manifest without the
+mark does not count, so a reader sees one version or the next one.  A writer that
+finds its version taken fails and can try again on the newer one; what a writer that
+died left without a mark is removed after ``STALE`` seconds.
 
 Rows are dealt in turn to as many tasks as there are shards, each of which writes
 one file, so no key, source, copy group or input split decides a shard's size.  A
@@ -18,29 +19,29 @@ store's path names.
 Defined edge cases: null texts count no bytes; repeated rows are kept as often
 as they arrive; an empty arrival commits a version that names no new shard; all
 columns are kept under their own names, and the store's own column is chosen so
-that it clashes with none.
+that it clashes with none; null doc_ids are kept; a table without ``source``
+or ``text`` is sharded too, with a null source and no bytes.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import free_name
+
 #: Text bytes that merged files aim at, the least tier's size, and shards of a tier that set off a merge.
 TARGET = 128 << 20
 SMALLEST = 1 << 20
 FAN = 4
-
-
-def _free(name: str, taken: list[str]) -> str:
-    """The name, with as many underscores before it as it takes to clash with none."""
-    while name in taken:
-        name = f"_{name}"
-    return name
+#: Seconds after which an unfinished manifest is given up, and shards that no version ever named (a week).
+STALE, ABANDONED = 600, 7 * 86400
+END = "end"
 
 
 class Conflict(RuntimeError):
@@ -59,34 +60,48 @@ class Store:
         for part in ("shards", "manifests"):
             self._fs.mkdirs(self._path(f"{self.path}/{part}"))
 
+    def _versions(self) -> list[int]:
+        """Versions that have a manifest file, the last first."""
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.path}/manifests"))]
+        return sorted((int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith(".")), reverse=True)
+
+    def _file(self, version: int):
+        return self._path(f"{self.path}/manifests/{version:012d}.json")
+
+    def _read(self, version: int) -> list[dict] | None:
+        """A manifest's shards, one line each, or None if its end is missing."""
+        stream = self._fs.open(self._file(version))
+        try:
+            lines = self._io.toString(stream, "UTF-8").split("\n")
+        finally:
+            stream.close()
+        return [json.loads(x) for x in lines[:-1]] if lines[-1] == END else None
+
     def version(self) -> int:
         """The last committed version; 0 for a new store."""
-        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.path}/manifests"))]
-        return max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
+        return next((v for v in self._versions() if self._read(v) is not None), 0)
 
     def manifest(self, version: int | None = None) -> list[dict]:
         """The live shards of a version: name, rows, bytes, tier and the version that made them."""
         version = self.version() if version is None else version
-        if not version:
-            return []
-        stream = self._fs.open(self._path(f"{self.path}/manifests/{version:012d}.json"))
-        try:
-            return json.loads(self._io.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return (self._read(version) or []) if version else []
 
     def commit(self, shards: list[dict], after: int) -> int:
         """Version ``after`` + 1, or ``Conflict`` if it is there already."""
-        final = self._path(f"{self.path}/manifests/{after + 1:012d}.json")
-        draft = self._path(f"{self.path}/manifests/.{uuid.uuid4().hex}.tmp")
-        out = self._fs.create(draft, False)
+        final = self._file(after + 1)
         try:
-            out.write(json.dumps(shards).encode())
+            out = self._fs.create(final, False)  # fails if the file is there
+        except Exception as error:
+            if self._fs.exists(final):
+                age = time.time() - self._fs.getFileStatus(final).getModificationTime() / 1000
+                if age > STALE and self._read(after + 1) is None:
+                    self._fs.delete(final, False)
+                raise Conflict(f"version {after + 1} is taken") from error
+            raise
+        try:
+            out.write("\n".join([*map(json.dumps, shards), END]).encode())
         finally:
             out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise Conflict(f"version {after + 1} is taken")
         return after + 1
 
     def tier(self, size: int) -> int:
@@ -94,7 +109,7 @@ class Store:
 
     def _write(self, rows: DataFrame, made: int, shards: int) -> list[dict]:
         """``rows`` as so many immutable shards, each a folder with one file, and their manifest entries."""
-        name = _free("shard", rows.columns)
+        name = free_name("shard", rows.columns)
         batch = uuid.uuid4().hex
         size = F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in rows.columns else F.lit(0)
         # in turn, not by a key: a hot value cannot fill one shard; one task writes one shard
@@ -106,10 +121,11 @@ class Store:
         counts = written.groupBy(name).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()  # one row for each shard
         return [{"name": f"{batch}/{name}={r[0]}", "rows": r[1], "bytes": r[2] or 0, "tier": self.tier(r[2] or 0), "made": made} for r in sorted(counts)]
 
-    def append(self, arrivals: DataFrame) -> int:
-        """A new version with the arrivals as one small shard, or several if they exceed the target."""
+    def append(self, arrivals: DataFrame, size: int | None = None) -> int:
+        """A new version with the arrivals as one small shard, or several if they exceed the target; ``size`` is their bytes of text, if known."""
         after = self.version()
-        size = arrivals.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if size is None:
+            size = (arrivals.agg(F.sum(F.octet_length("text"))).first()[0] or 0) if "text" in arrivals.columns else 0
         made = self._write(arrivals, after + 1, max(1, math.ceil(size / self.target)))
         return self.commit(self.manifest(after) + made, after)
 
@@ -148,17 +164,26 @@ class Store:
             pass
         return self.version()
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes shards that none of the last ``keep`` versions names; how many folders went."""
-        last = self.version()
-        named = {s["name"] for v in range(max(1, last - keep + 1), last + 1) for s in self.manifest(v)}
+    def vacuum(self, keep: int = 1, abandoned: float = ABANDONED) -> int:
+        """Deletes shards that a version before the last ``keep`` ones named and none of these does, with those versions; how many shards went.
+
+        Shards that no version names may be another writer's, who has not committed
+        yet, so they go only when they are older than ``abandoned`` seconds.
+        """
+        versions = [v for v in self._versions() if self._read(v) is not None]
+        named = {s["name"] for v in versions[:keep] for s in self._read(v)}
+        was = {s["name"] for v in versions[keep:] for s in self._read(v)}
         gone = 0
+        for name in sorted(was - named):
+            gone += self._fs.delete(self._path(f"{self.path}/shards/{name}"), True)
+        for v in versions[keep:]:
+            self._fs.delete(self._file(v), False)
         for batch in self._fs.listStatus(self._path(f"{self.path}/shards")):
-            for part in self._fs.listStatus(batch.getPath()):
-                label = f"{batch.getPath().getName()}/{part.getPath().getName()}"
-                if part.isDirectory() and label not in named:
-                    self._fs.delete(part.getPath(), True)
-                    gone += 1
+            parts = [p for p in self._fs.listStatus(batch.getPath()) if p.isDirectory()]
+            for part in parts:
+                old = time.time() - part.getModificationTime() / 1000 > abandoned
+                if old and f"{batch.getPath().getName()}/{part.getPath().getName()}" not in named:
+                    gone += self._fs.delete(part.getPath(), True)
         return gone
 
 
@@ -168,17 +193,24 @@ def shard(docs: DataFrame, path: str, arrivals: int = 6, **sizes) -> DataFrame:
     Returns doc_id, source, n_bytes and the number (from 0) and the bytes of the
     live shard that each row ended in.
     """
-    store = Store(docs.sparkSession, path, **sizes)
-    hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals))
+    spark = docs.sparkSession
+    store = Store(spark, path, **sizes)
+    text = "text" if "text" in docs.columns else None
+    hashed = F.pmod(F.xxhash64("doc_id", *([text] if text else [])), F.lit(arrivals))
+    bytes_of = F.coalesce(F.octet_length(text), F.lit(0)) if text else F.lit(0)
+    # the bytes of all arrivals in one pass
+    each = dict(docs.groupBy(hashed.alias("arrival")).agg(F.sum(bytes_of.cast("long"))).collect())
     for k in range(arrivals):
-        store.append(docs.where(hashed == k))
+        store.append(docs.where(hashed == k), each.get(k, 0))
         store.settle()
         store.vacuum()  # what a merge replaced goes before the next arrival
     live = store.manifest()
+    doc_id, n_bytes = F.col("doc_id").cast("long").alias("doc_id"), bytes_of.cast("long").alias("n_bytes")
+    source = (F.col("source") if "source" in docs.columns else F.lit(None).cast("string")).alias("source")
     if not live:
-        return docs.limit(0).select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("shard_bytes"))
-    numbers = F.create_map(*(F.lit(x) for i, s in enumerate(live) for x in (s["name"], i)))
-    sizes_of = F.array(*(F.lit(s["bytes"]).cast("long") for s in live))
-    label = _free("shard", docs.columns)
-    rows = store.read(live, label).select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.element_at(numbers, F.col(label)).alias("shard"))
-    return rows.withColumn("shard_bytes", F.get(sizes_of, F.col("shard")))
+        return docs.limit(0).select(doc_id, source, n_bytes, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("shard_bytes"))
+    # the manifest is a table of its own, which the planner broadcasts while it is small
+    table = spark.createDataFrame([(s["name"], i, s["bytes"]) for i, s in enumerate(live)], "name string, shard int, shard_bytes long")
+    label = free_name("name", docs.columns)
+    rows = store.read(live, label).select(F.col(label).alias("name"), doc_id, source, n_bytes)
+    return rows.join(table, "name").select("doc_id", "source", "n_bytes", "shard", "shard_bytes")

@@ -213,12 +213,52 @@ def test_shard_files(spark, tmp_path, tasks):
     assert all(s["bytes"] <= 45_000 for s in grown.manifest()) and sum(s["rows"] for s in grown.manifest()) == 3000
 
 
+def test_two_writers(spark, tmp_path):
+    """Shards that a second writer has not committed yet outlive a vacuum, and only one writer gets a version."""
+    docs = spark.createDataFrame([(i, prose(i, 20)) for i in range(40)] + [(None, None)], "doc_id long, text string").coalesce(1)
+    one, two = (sharding.Store(spark, str(tmp_path / "s"), target=10_000, smallest=100, fan=2) for _ in range(2))
+    one.append(docs)
+    made = two._write(docs, 3, 1)  # written, and committed below
+    one.append(docs)
+    one.settle()
+    assert one.vacuum() == 2 and one.vacuum() == 0
+    after = two.version()
+    two.commit(two.manifest(after) + made, after)
+    assert two.read(two.manifest()).count() == 3 * 41
+    with pytest.raises(sharding.Conflict):
+        one.commit([], after)
+    assert two.read(two.manifest()).count() == 3 * 41
+    assert one.vacuum(abandoned=-1) >= 0 and two.read(two.manifest()).count() == 3 * 41
+
+
+def test_crashed_commit(spark, tmp_path, monkeypatch):
+    """A manifest that a writer left unfinished counts as none, and is given up after a while."""
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    store = sharding.Store(spark, str(tmp_path / "s"))
+    store.append(docs)
+    torn = tmp_path / "s" / "manifests" / f"{2:012d}.json"
+    torn.write_text('{"name": "x/shard=0", "rows"')
+    assert store.version() == 1 and store.read(store.manifest()).count() == 1
+    with pytest.raises(sharding.Conflict):
+        store.append(docs)
+    monkeypatch.setattr(sharding, "STALE", -1)
+    (tmp_path / "s" / "manifests" / f".{2:012d}.json.crc").unlink(missing_ok=True)
+    with pytest.raises(sharding.Conflict):
+        store.append(docs)
+    assert store.append(docs) == 2 and store.read(store.manifest()).count() == 2
+
+
 def test_sharded_query(spark, documents, none, tmp_path):
     got = sharding.shard(documents, str(tmp_path / "a"), target=50_000, smallest=2_000).toPandas()
     assert len(got) == documents.count()
     sizes = got.groupby("shard")["n_bytes"].sum()
     assert (got.groupby("shard")["shard_bytes"].first() == sizes).all()
     assert sharding.shard(none, str(tmp_path / "b")).count() == 0
+    rows = got[["doc_id", "n_bytes"]].fillna(-1).sort_values(["doc_id", "n_bytes"]).to_numpy().tolist()
+    want = sorted([-1 if d is None else d, len((t or "").encode())] for d, t in documents.select("doc_id", "text").collect())
+    assert rows == want
+    bare = spark.createDataFrame([(None,), (1,)], "doc_id long")
+    assert sharding.shard(bare, str(tmp_path / "c")).select("n_bytes").distinct().collect()[0][0] == 0
 
 
 def test_pipeline_stages(spark, tmp_path):
