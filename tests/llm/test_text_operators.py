@@ -1,6 +1,7 @@
 """Operators on single texts against plain versions of them."""
 
 import hashlib
+import os
 import re
 import textwrap
 import time
@@ -166,6 +167,13 @@ PAGES = [
     ("", ""),
     ("<p>", ""),
     ("just text", "just text"),
+    ("<article><h1>One</h1><p>First story, of some length, told well.</p></article><article><h1>Two</h1><p>Second story, of some length, told well.</p></article>", "One\nFirst story, of some length, told well.\nTwo\nSecond story, of some length, told well."),
+    ("<main><article><p>The story itself, with commas, and stops. It goes on, and on.</p></article><article class='comment'><p>I do not agree, at all. It is wrong, and so on.</p></article></main>", "The story itself, with commas, and stops. It goes on, and on."),
+    ("<article><p>Text, of some length.</p><div class='search results'><p>What was found, in short.</p></div><p class='form'>The form of it, and more.</p><p class='ad'>Buy, now.</p></article>", "Text, of some length.\nWhat was found, in short.\nThe form of it, and more."),
+    ("<article><p>Long text, of some length. And more of it.</p><div><a href=x>One link</a> <a href=y>Other link</a></div><p>See <a href=z>this</a>, too.</p></article>", "Long text, of some length. And more of it.\nSee this, too."),
+    ("<p>An open quote <a href=\"x>here</a> and text, after.</p>", "An open quote here and text, after."),
+    ("a < b and c <d", "a < b and c <d"),
+    ("<article><p>One.<textarea>in <p> it</textarea> Two.</p></article><script>never closed <p>x</p>", "One. Two."),
     ("<article><p>A <b>bold</b> and <a href='x>y'>link</a>&nbsp;end.</p><form><p>Name, please.</p></form></article>", "A bold and link end."),
 ]
 
@@ -175,6 +183,47 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("part", ["<p ", "<div>x", "<b>", "<p '", "<!--", "<script>", "<i></b>", "</p>", "<a href='", "<div><b></div>", "&am", "<li>x<ul>"])
+def test_broken_pages(part):
+    """Time grows in proportion to the page, however broken it is."""
+    began = time.perf_counter()
+    html.main_text("<div>" * 3 + part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 20
+
+
+def test_pages_by_force(spark):
+    """The table's pages, whose article is known by its element, against another parser."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.lines = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.lines += [""] if tag in ("p", "h1") else []
+            self.lines[-1] += " " if tag == "br" else ""
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            self.lines += [""] if tag in ("p", "h1") else []
+
+        def handle_data(self, data):
+            self.lines[-1] += data if self.inside else ""
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    pages = spark.read.parquet(path)
+    got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r["html"] or "")
+        plain.close()
+        assert got[r["page_id"]] == "\n".join(x for x in (" ".join(line.split()) for line in plain.lines) if x)
+
+
 def test_pages(spark):
     rows = spark.createDataFrame([(i, "u", p, 1) for i, (p, _) in enumerate(PAGES)], "page_id long, url string, html string, n_chars int")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract(rows).collect()}
