@@ -280,6 +280,15 @@ def test_pipeline_stages(spark, tmp_path):
     links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     parts = smallest(len(rows), links, [d for d, _ in rows])
     assert sorted(r["doc_id"] for r in apart.collect()) == sorted(d for (d, _), s, p in zip(rows, sets, parts, strict=True) if not s or p == d)
+    # columns with the names that stages use, rows without an id, rows that share one
+    odd = docs.limit(0).selectExpr("*", "0 quality_score", "0 __row", "0 row_key", "0 place")
+    some = [(None, prose(900, 50)), (None, prose(900, 50)), (None, prose(901, 50)), (1, prose(902, 50)), (1, prose(903, 50)), (1, prose(903, 50)), (2, prose(901, 50) + " more"), (3, None), (3, None), (None, "")]
+    odd = odd.unionByName(spark.createDataFrame([(d, t, "en", "s", 0, k, k, k, k) for k, (d, t) in enumerate(some)], ", ".join(f"{c} {t}" for c, t in odd.dtypes)))
+    left = stages["near_copies"](spark, odd, str(tmp_path))
+    assert left.columns == odd.columns and stages["quality"](spark, odd, str(tmp_path)).columns == odd.columns
+    want = [(None, ""), (None, prose(900, 50)), (1, prose(902, 50)), (1, prose(903, 50)), (2, prose(901, 50) + " more"), (3, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted(want, key=str)
+    assert stages["near_copies"](spark, odd.limit(0), str(tmp_path)).count() == 0
     hidden = stages["secrets"](spark, docs, str(tmp_path))
     assert hidden.count() == docs.count() and hidden.columns == docs.columns
     assert secrets.scan(hidden).where("n_assign + n_access + n_hex > 0").count() == 0
