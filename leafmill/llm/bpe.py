@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters handled together by one worker.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 #: Pieces of more bytes are merged one by one with a heap; the result is the same.
 LONG_PIECE = 256
 NO_RANK = np.iinfo(np.int64).max
