@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from leafmill.plans import QUERIES, ORACLES, events, geometry, scheduling, store, text
+from leafmill.plans import ORACLES, QUERIES, display, events, geometry, library, scheduling, store, text
 
-__all__ = ["ORACLES", "QUERIES", "events", "geometry", "scheduling", "store", "text"]
+__all__ = ["ORACLES", "QUERIES", "display", "events", "geometry", "library", "scheduling", "store", "text"]

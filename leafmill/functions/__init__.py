@@ -123,3 +123,34 @@ def valid_rect(left: Column, bottom: Column, right: Column, top: Column) -> Colu
     """Right of left, top over bottom, all finite."""
     finite = [x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) for x in (left, bottom, right, top)]
     return F.coalesce(finite[0] & finite[1] & finite[2] & finite[3] & (right > left) & (top > bottom), F.lit(False))
+
+
+def quarter_of_degrees(degrees: Column) -> Column:
+    """Whole quarter turns in an angle."""
+    return F.floor(F.pmod(degrees, F.lit(360)) / 90).cast("int")
+
+
+def rgb(red: Column, green: Column, blue: Column) -> tuple[Column, Column, Column]:
+    """Channels from 0 to 255 as fractions."""
+    return red / 255.0, green / 255.0, blue / 255.0
+
+
+def named(code: Column, names: tuple[str, ...]) -> Column:
+    """The name of a code, the first name for codes beyond the list."""
+    return F.coalesce(F.get(F.array(*(F.lit(n) for n in names)), code.cast("int")), F.lit(names[0]))
+
+
+def whole_hash(raw: Column) -> Column:
+    """A hash of 32 bytes, or null for a slice of any other length."""
+    return F.when(F.octet_length(raw) == 32, raw)
+
+
+def unix_now() -> Column:
+    """Whole seconds of the query's start."""
+    return F.unix_timestamp()
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    """Milliseconds between two times, with their fraction."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return (micros(end) - micros(start)) / 1000.0

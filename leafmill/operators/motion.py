@@ -45,3 +45,14 @@ def last_of_burst(rows: DataFrame, key: str, time: str, tie: str, seconds: float
     following = F.lead(time).over(Window.partitionBy(key).orderBy(time, tie))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     return rows.withColumn("__next", following).where(F.col("__next").isNull() | (micros(F.col("__next")) - micros(F.col(time)) >= int(seconds * 1e6))).drop("__next")
+
+
+def polled(rows: DataFrame, key: str, time: str, tie: str, seconds: int) -> DataFrame:
+    """What a poll every so many seconds sees of each key: the last row since the poll before.
+
+    ``poll`` numbers the polls from the epoch on; polls that find nothing new have no row.
+    """
+    poll = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (seconds * 1_000_000)) + 1
+    rest = [c for c in rows.columns if c not in (key, time, tie)]
+    last = rows.groupBy(key, poll.cast("long").alias("poll")).agg(F.max(F.struct(time, tie, *rest)).alias("row"))
+    return last.select(key, "poll", "row.*")

@@ -27,3 +27,8 @@ def flatten(links: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
 def preorder(flat: DataFrame, most: int = MOST_NODES) -> DataFrame:
     """The first nodes in preorder; the cap is part of the outline's definition."""
     return flat.orderBy("path").limit(most)
+
+
+def enabled(entries: DataFrame, page: str) -> DataFrame:
+    """Entries that lead somewhere."""
+    return entries.where(F.col(page).isNotNull())

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill import functions as fn
+
 
 def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last write wins: the last row of each key. One aggregate, combined before the shuffle."""
@@ -52,3 +54,33 @@ def refuse_newer(found: Column, supported: int) -> Column:
 
 def numbered(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def find(files: DataFrame, path: str, fold: bool = False) -> DataFrame:
+    """The file of a path, or no row; files have path_hash, the hash of the normal path."""
+    return files.where(F.col("path_hash") == F.sha2(fn.normal_path(F.lit(path), fold), 256))
+
+
+def pinned(files: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """``files`` with the pin that the updates (key, pinned) set; the others keep theirs."""
+    new = updates.select(key, F.col("pinned").alias("__pinned"))
+    return files.join(new, key, "left").withColumn("pinned", F.coalesce("__pinned", "pinned")).drop("__pinned")
+
+
+def available(files: DataFrame, listing: DataFrame, path: str = "path") -> DataFrame:
+    """``files`` with whether their path is among the listed ones."""
+    there = listing.select(path).distinct().withColumn("available", F.lit(True))
+    return files.join(there, path, "left").withColumn("available", F.coalesce("available", F.lit(False)))
+
+
+def acquired(refs: DataFrame, slots: DataFrame, slot: str, epoch: str, state: str, ready: str) -> DataFrame:
+    """What a reader of a slot gets: the slot, or Stale if it is of another epoch, or WrongState if it is not ready."""
+    now = slots.select(slot, F.col(epoch).alias("__epoch"), F.col(state).alias("__state"))
+    found = F.when(F.col("__epoch").isNull(), "NoSlot").when(F.col("__epoch") != F.col(epoch), "Stale").when(F.col("__state") != ready, "WrongState").otherwise("Acquired")
+    return refs.join(now, slot, "left").withColumn("outcome", found).drop("__epoch", "__state")
+
+
+def greeted(hellos: DataFrame, protocol: str, expected: int) -> DataFrame:
+    """Workers by what they say first: accepted, of another protocol, or silent."""
+    said = F.when(F.col(protocol).isNull(), "NoHandshake").when(F.col(protocol) == expected, "Accepted").otherwise("ProtocolMismatch")
+    return hellos.withColumn("greeting", said)

@@ -76,11 +76,11 @@ def lru(accesses: DataFrame, cache: str, budget: int, least: int = 0) -> DataFra
         state, out = Lru(budget, least), []
         rows = rows.sort_values("seq")
         for key, size in zip(rows["key"], rows["bytes"], strict=True):
-            out.append((state.access(key, int(size)), state.evictions, state.bytes))
-        outcome, evictions, held = zip(*out, strict=True)
-        return pd.DataFrame({cache: rows[cache], "seq": rows["seq"], "outcome": outcome, "evictions": evictions, "held": held})
+            out.append((state.access(key, int(size)), state.evictions, len(state.held), state.bytes))
+        outcome, evictions, entries, held = zip(*out, strict=True)
+        return pd.DataFrame({cache: rows[cache], "seq": rows["seq"], "outcome": outcome, "evictions": evictions, "entries": entries, "held": held})
 
-    return accesses.select(cache, "seq", "key", "bytes").groupBy(cache).applyInPandas(run, f"{cache} long, seq long, outcome string, evictions long, held long")
+    return accesses.select(cache, "seq", "key", "bytes").groupBy(cache).applyInPandas(run, f"{cache} long, seq long, outcome string, evictions long, entries long, held long")
 
 
 def ring(claims: DataFrame, name: str, slots: int) -> DataFrame:
@@ -133,3 +133,31 @@ def workers(jobs: DataFrame, pool: str, width: int) -> DataFrame:
         return pd.DataFrame({pool: rows[pool].iloc[0], "seq": seq, "start": start, "worker": worker})
 
     return jobs.select(pool, "seq", "arrival", "priority", "took").groupBy(pool).applyInPandas(run, f"{pool} long, seq long, start double, worker int")
+
+
+def shed_on_arrival(jobs: DataFrame, queue: str, capacity: int = CAPACITY, every: int = 1) -> DataFrame:
+    """What becomes of each job (queue, seq, priority): served, shed or still queued at the end, and after how many arrivals.
+
+    A job that arrives at a full queue pushes out the oldest of the lowest
+    priority there, itself included; after every so many arrivals the oldest of
+    the highest priority is served.
+    """
+    from collections import deque
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        waiting: dict[int, deque] = {}
+        held, fate = 0, {}
+        for n, (seq, priority) in enumerate(zip(rows["seq"], rows["priority"], strict=True), 1):
+            waiting.setdefault(int(priority), deque()).append(seq)
+            held += 1
+            while held > capacity:
+                fate[waiting[min(p for p, w in waiting.items() if w)].popleft()] = ("shed", n)
+                held -= 1
+            if n % every == 0 and held:
+                fate[waiting[max(p for p, w in waiting.items() if w)].popleft()] = ("served", n)
+                held -= 1
+        outcome, after = zip(*(fate.get(s, ("queued", None)) for s in rows["seq"]), strict=True)
+        return pd.DataFrame({queue: rows[queue], "seq": rows["seq"], "outcome": outcome, "after": pd.array(after, "Int64")})
+
+    return jobs.select(queue, "seq", "priority").groupBy(queue).applyInPandas(run, f"{queue} long, seq long, outcome string, after long")

@@ -28,3 +28,9 @@ def hit_rate(hits: Column, misses: Column) -> Column:
 
 def cost_ratio(tiled: Column, whole: Column) -> Column:
     return tiled / F.greatest(whole, F.lit(0.001))
+
+
+def render_counters(log: DataFrame, keys: list[str], outcome: str = "outcome") -> DataFrame:
+    """How many of each outcome a log of requests holds, for each key."""
+    names = ("rendered", "superseded", "shed", "failed", "coalesced", "queued", "inflight")
+    return log.groupBy(*keys).agg(*(F.count_if(F.col(outcome) == n).alias(n) for n in names))

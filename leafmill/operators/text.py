@@ -13,29 +13,54 @@ from pyspark.sql.types import StringType
 @F.pandas_udf(StringType())
 def without_accents(text: pd.Series) -> pd.Series:
     """Text without combining marks; there is no built-in for it."""
-    return text.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
+    return text.map(lambda t: t if t is None or t.isascii() else bare(t))
+
+
+def bare(char: str) -> str:
+    """A character without its combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn")
+
+
+#: Latin letters with marks, each of which is one letter without them.
+MARKED = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if bare(c) != c]
+ASCII, LATIN = "^[\\x00-\\x7F]*$", "^[\\x00-\\u024F\\u1E00-\\u1EFF\\u2010-\\u2027]*$"
+
+
+def folded(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with their text in lower case and without accents.
+
+    Texts of Latin letters stay in the JVM; only the others go through Python.
+    """
+    plain = F.coalesce(F.col(text).rlike(LATIN), F.lit(True))
+    native = F.when(F.col(text).rlike(ASCII), F.col(text)).otherwise(F.translate(text, "".join(MARKED), "".join(map(bare, MARKED))))
+    latin = docs.where(plain).withColumn(text, F.lower(native))
+    return latin.unionByName(docs.where(~plain).withColumn(text, F.lower(without_accents(F.col(text)))))
 
 
 def tokens(text: Column) -> Column:
-    """Case-folded words of letters and digits without accents, in order."""
-    return F.regexp_extract_all(F.lower(without_accents(text)), F.lit("([\\p{L}\\p{N}]+)"), 1)
+    """Words of letters and digits of a folded text, in order."""
+    return F.regexp_extract_all(text, F.lit("([\\p{L}\\p{N}]+)"), 1)
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """token, document, tf and positions of every token."""
-    placed = docs.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "token"))
+    placed = folded(docs, text).select(key, F.posexplode(tokens(F.col(text))).alias("pos", "token"))
     return placed.groupBy("token", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
     """token, documents that hold it and how often it stands in all; combined before the shuffle."""
-    counted = docs.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy("token", key).agg(F.count("*").alias("n"))
+    counted = folded(docs.select(key, text), text).select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy("token", key).agg(F.count("*").alias("n"))
     return counted.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
 def matching(docs: DataFrame, text: str, term: str) -> DataFrame:
-    """Documents that hold a term as a token."""
-    return docs.where(F.array_contains(tokens(F.col(text)), term))
+    """Documents that hold a term as a token; their text comes back folded.
+
+    A text without the term's letters, once it is folded, is not cut into tokens.
+    """
+    held = folded(docs, text).where(F.contains(F.col(text), F.lit(term)))
+    return held.where(F.array_contains(tokens(F.col(text)), term))
 
 
 def search(docs: DataFrame, text: str, term: str, case_sensitive: bool = False, whole_word: bool = False) -> DataFrame:

@@ -79,3 +79,9 @@ def inverse(m: dict[str, Column], epsilon: float = 1e-6) -> dict[str, Column]:
 
 def applied(m: dict[str, Column], x: Column, y: Column) -> tuple[Column, Column]:
     return m["a"] * x + m["c"] * y + m["e"], m["b"] * x + m["d"] * y + m["f"]
+
+
+def row_major(rows: Column, cols: Column) -> Column:
+    """The places (row, col) of a grid, row by row."""
+    count = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(count(rows), lambda r: F.transform(count(cols), lambda c: F.struct(r.alias("row"), c.alias("col")))))

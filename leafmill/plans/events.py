@@ -37,7 +37,7 @@ def singleton_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, hits, misses, CASE WHEN hits + misses > 0 THEN round(hits * 100.0::DOUBLE / (hits + misses))::BIGINT END AS hit_rate, bytes, round(bytes / 1048576.0::DOUBLE)::BIGINT AS megabytes
 FROM (SELECT user_id, count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type = 'click') AS misses, sum((value * 100000)::BIGINT)::BIGINT AS bytes FROM events GROUP BY user_id)""")
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits, misses, hit rate and bytes of each user."""
+    """Hits, misses, hit rate and bytes of each user."""
     got = table(spark, sf_dir, "events").groupBy("user_id").agg(
         F.count_if(F.col("event_type") == "view").alias("hits"), F.count_if(F.col("event_type") == "click").alias("misses"), F.sum(F.round(F.col("value") * 100000).cast("long")).alias("bytes")
     )
@@ -75,7 +75,7 @@ def ema_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("user_id", F.round(scaled, 6).alias("velocity"), fn.direction(scaled).alias("direction"))
 
 
-@query("""WITH b AS (SELECT user_id, (min(event_id) % 40)::INT AS first, (min(event_id) % 40 + 2)::INT AS last, arg_max(value, ts) - arg_min(value, ts) AS v FROM events GROUP BY user_id),
+@query("""WITH b AS (SELECT user_id, (min(event_id) % 40)::INT AS first, (min(event_id) % 40 + 2)::INT AS last, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) AS v FROM events GROUP BY user_id),
 p AS (SELECT *, 4 * v AS vel, least(8, greatest(1, floor(abs(4 * v) / 400 + 0.5)))::INT AS reach FROM b),
 c AS (
  SELECT user_id, last + k AS page, k AS rank FROM p, range(1, 9) t(k) WHERE vel > 40 AND k <= reach
@@ -88,7 +88,7 @@ SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY rank) - 1)::IN
 def prefetch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to fetch in order, from the visible range and the velocity."""
     seen = table(spark, sf_dir, "events").groupBy("user_id").agg(
-        (F.min("event_id") % 40).cast("int").alias("first"), (F.max_by("value", "ts") - F.min_by("value", "ts")).alias("v")
+        (F.min("event_id") % 40).cast("int").alias("first"), (F.max_by("value", F.struct("ts", "event_id")) - F.min_by("value", F.struct("ts", "event_id"))).alias("v")
     )
     visible = seen.select("user_id", F.sequence("first", F.col("first") + 2).alias("visible"), (F.col("v") * 4).alias("velocity"))
     pages = motion.prefetch(F.col("visible"), F.col("velocity"), F.lit(42))
@@ -102,10 +102,10 @@ def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.last_of_burst(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 1200.0).select("user_id", "event_id", "value")
 
 
-@query("""SELECT frame, user_id, arg_max(event_id, ts) AS event_id, count(*) AS merged FROM (SELECT *, time_bucket(INTERVAL 16 MINUTE, ts, TIMESTAMP '1970-01-01') AS frame FROM events) GROUP BY 1, 2""")
+@query("""SELECT frame, user_id, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS merged FROM (SELECT *, time_bucket(INTERVAL 16 MINUTE, ts, TIMESTAMP '1970-01-01') AS frame FROM events) GROUP BY 1, 2""")
 def frame_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most one draw for each frame of 16 minutes (T16, scaled from ms)."""
-    framed = table(spark, sf_dir, "events").groupBy(F.window("ts", "16 minutes").alias("w"), "user_id").agg(F.max_by("event_id", "ts").alias("event_id"), F.count("*").alias("merged"))
+    framed = table(spark, sf_dir, "events").groupBy(F.window("ts", "16 minutes").alias("w"), "user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("merged"))
     return framed.select(F.col("w.start").alias("frame"), "user_id", "event_id", "merged")
 
 

@@ -113,7 +113,7 @@ g AS (SELECT *, least(512, page_w - col * 512)::BIGINT AS px_w, least(512, page_
 @query(f"""{_GRID} SELECT doc, page, scale_key, col, row, px_w, px_h, round(col * 512 * (width / page_w), 6) AS left, round(height - row * 512 * (height / page_h), 6) AS top,
 round((col * 512 + px_w) * (width / page_w), 6) AS right, round(height - (row * 512 + px_h) * (height / page_h), 6) AS bottom FROM g""")
 def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tiles of all pages at a zoom that depends on the page."""
+    """All tiles of all pages at a zoom that depends on the page."""
     made = tiles.grid(pages(spark, sf_dir), 0.25 + 0.35 * (F.col("p_partkey") % 8))
     return made.select("doc", "page", "scale_key", "col", "row", "px_w", "px_h", *(F.round(c, 6).alias(c) for c in ("left", "top", "right", "bottom")))
 
@@ -124,7 +124,7 @@ _TURN = """CASE q WHEN 1 THEN {y} WHEN 2 THEN width - {x} WHEN 3 THEN height - {
 @query(f"""WITH p AS (SELECT *, ((p_partkey % 9 - 4) % 4 + 4) % 4 AS q FROM ({_PAGES})) SELECT doc, page, q::INT AS rotation, CASE WHEN q IN (1, 3) THEN height ELSE width END AS shown_w, CASE WHEN q IN (1, 3) THEN width ELSE height END AS shown_h,
 CASE q WHEN 1 THEN 20.0 WHEN 2 THEN width - 10 WHEN 3 THEN height - 20 ELSE 10.0 END::DOUBLE AS x, CASE q WHEN 1 THEN width - 10 WHEN 2 THEN height - 20 WHEN 3 THEN 10.0 ELSE 20.0 END::DOUBLE AS y FROM p""")
 def display_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised rotation, displayed size and a turned point of each page."""
+    """Normalised rotation, displayed size and a turned point of each page."""
     turns = F.col("p_partkey") % 9 - 4
     w, h = fn.displayed(F.col("width"), F.col("height"), turns)
     x, y = tiles.turned_point(F.lit(10.0), F.lit(20.0), F.col("width"), F.col("height"), turns)

@@ -33,7 +33,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT event_id, user_id, generation, epoch, event_type <> 'view' AND generation < epoch AS stale FROM ({_GATE})")
 def generation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests older than their document's epoch are stale, previews (views) never."""
+    """Requests older than their document's epoch are stale, previews (views) never."""
     return gate(spark, sf_dir).select("event_id", "user_id", "generation", "epoch", "stale")
 
 
@@ -52,7 +52,7 @@ def coalesce_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY priority, event_id) <= count(*) OVER (PARTITION BY day) - 200 AS shed FROM q)
 SELECT event_id, day::VARCHAR AS day, priority, shed, CASE WHEN NOT shed THEN row_number() OVER (PARTITION BY day, shed ORDER BY priority DESC, event_id) END AS nth FROM s""")
 def dispatch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order of dispatch by priority and arrival, after shedding what a queue of 200 cannot hold."""
+    """Order of dispatch by priority and arrival, after shedding what a queue of 200 cannot hold."""
     kind = F.col("event_type")
     q = table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("seq"), F.to_date("ts").cast("string").alias("day"), F.when(kind == "view", 1).when(kind == "signup", 0).otherwise(2).alias("priority"))
     return schedule.dispatched(q, "day", 200).select("event_id", "day", "priority", "shed", F.col("nth").cast("long").alias("nth"))
@@ -76,7 +76,7 @@ def outcome_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT user_id, count(*) AS requested, count(*) FILTER (o = 'Superseded') AS dropped, count(*) FILTER (o = 'Served') AS rendered, count(*) FILTER (o NOT IN ('Superseded', 'Served')) AS failed FROM (SELECT *, {_OUTCOME} AS o FROM ({_GATE})) GROUP BY 1""")
 def render_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested, dropped, rendered and failed of each document."""
+    """Requested, dropped, rendered and failed of each document."""
     o = F.col("outcome")
     return outcomes(spark, sf_dir).groupBy("user_id").agg(
         F.count("*").alias("requested"), F.count_if(o == "Superseded").alias("dropped"), F.count_if(o == "Served").alias("rendered"), F.count_if(~o.isin("Superseded", "Served")).alias("failed")
@@ -118,19 +118,40 @@ def accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.concat_ws("/", "event_type", F.col("event_id") % 3).alias("key"), size.alias("bytes"))
 
 
-@query()
+def _lru(least: int) -> str:
+    """A cache as a fold over each user's accesses; lists hold keys and sizes, the oldest first."""
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, event_type || '/' || (event_id % 3) AS key, round(value * 1000)::BIGINT AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+f AS (SELECT user_id, 0::BIGINT AS r, 0::BIGINT AS seq, ''::VARCHAR AS outcome, 0::BIGINT AS evictions, []::VARCHAR[] AS ks, []::BIGINT[] AS bs FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, r, seq, outcome, evictions + CASE WHEN outcome = 'stored' THEN cut ELSE 0 END, CASE WHEN outcome = 'refused' THEN ks ELSE k2[cut + 1:] END, CASE WHEN outcome = 'refused' THEN bs ELSE b2[cut + 1:] END
+FROM (SELECT *, CASE WHEN outcome <> 'stored' THEN 0 ELSE coalesce(list_min(list_filter(range(0, greatest(len(b2) - {least}, 0) + 1), lambda c: coalesce(list_sum(b2[c + 1:]), 0) <= 150000)), len(b2) - {least}) END AS cut
+FROM (SELECT *, list_append(CASE WHEN p > 0 THEN list_concat(ks[1:p - 1], ks[p + 1:]) ELSE ks END, key) AS k2, list_append(CASE WHEN p > 0 THEN list_concat(bs[1:p - 1], bs[p + 1:]) ELSE bs END, bytes) AS b2,
+CASE WHEN p > 0 AND bs[p] = bytes THEN 'hit' WHEN bytes > 150000 AND {least} = 0 THEN 'refused' ELSE 'stored' END AS outcome
+FROM (SELECT e.user_id, e.r, e.seq, e.key, e.bytes, f.evictions, f.ks, f.bs, coalesce(list_position(f.ks, e.key), 0) AS p FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1))))
+SELECT user_id, seq, outcome, evictions::BIGINT AS evictions, len(ks) AS entries, coalesce(list_sum(bs), 0)::BIGINT AS held FROM f WHERE r > 0"""
+
+
+@query(_lru(0))
 def lru_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of 150 kB for each user; what is larger is refused."""
     return schedule.lru(accesses(spark, sf_dir), "user_id", 150_000)
 
 
-@query()
+@query(_lru(1))
 def lru_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The variant that always keeps one entry."""
     return schedule.lru(accesses(spark, sf_dir), "user_id", 150_000, least=1)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, event_id % 7 AS g, event_type = 'purchase' AS free, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+f AS (SELECT user_id, 0::BIGINT AS r, 0::BIGINT AS seq, 0::BIGINT AS slot, ''::VARCHAR AS state, []::BIGINT[] AS ss, []::BIGINT[] AS gs, 0::BIGINT AS turn FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, r, seq, slot, state, CASE WHEN free THEN rest_s ELSE list_append(rest_s, slot) END, CASE WHEN free THEN rest_g ELSE list_append(rest_g, g) END, CASE WHEN free THEN turn ELSE (slot + 1) % 4 END
+FROM (SELECT *, CASE WHEN p > 0 THEN list_concat(ss[1:p - 1], ss[p + 1:]) ELSE ss END AS rest_s, CASE WHEN p > 0 THEN list_concat(gs[1:p - 1], gs[p + 1:]) ELSE gs END AS rest_g
+FROM (SELECT *, coalesce(list_position(ss, slot), 0) AS p
+FROM (SELECT *, CASE WHEN free THEN coalesce(ss[1], -1) WHEN len(empty) > 0 THEN empty[1] ELSE list_min(list_transform(range(1, len(ss) + 1), lambda i: gs[i] * 10 + ss[i])) % 10 END AS slot,
+CASE WHEN free THEN CASE WHEN len(ss) > 0 THEN 'freed' ELSE 'empty' END WHEN len(empty) > 0 THEN 'claimed' ELSE 'reclaimed' END AS state
+FROM (SELECT e.user_id, e.r, e.seq, e.g, e.free, f.ss, f.gs, f.turn, list_filter([f.turn % 4, (f.turn + 1) % 4, (f.turn + 2) % 4, (f.turn + 3) % 4], lambda s: NOT list_contains(f.ss, s)) AS empty
+FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)))))
+SELECT user_id, seq, slot::INT AS slot, state FROM f WHERE r > 0""")
 def ring_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings of four slots: purchases give a slot back, all other events claim one."""
     claims = requests(spark, sf_dir).select("user_id", F.col("event_id").alias("seq"), "generation", (F.col("event_type") == "purchase").alias("free"))

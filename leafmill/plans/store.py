@@ -28,9 +28,9 @@ def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.recent(files(spark, sf_dir), 20)
 
 
-@query("""SELECT user_id, min(event_id) AS id, arg_max(value, (ts, event_id)) AS size, epoch(max(ts))::BIGINT AS mtime, bool_or(event_type = 'purchase') AS pinned FROM events GROUP BY user_id""")
+@query("""SELECT user_id, min(event_id) AS id, arg_max(value, (ts, event_id)) AS size, floor(epoch(max(ts)))::BIGINT AS mtime, bool_or(event_type = 'purchase') AS pinned FROM events GROUP BY user_id""")
 def touch_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each opening refreshes a file's stamp; the first id and the pin stay."""
+    """Each opening refreshes a file's stamp; the first id and the pin stay."""
     log = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value", "event_type")
     got = relations.touched(log, "user_id", ["ts", "event_id"], F.col("event_type") == "purchase")
     return got.select("user_id", "id", F.col("row.value").alias("size"), F.unix_seconds(F.col("row.ts").cast("timestamp")).alias("mtime"), "pinned")
@@ -48,17 +48,17 @@ def reading_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type AS key, user_id, arg_max(value::VARCHAR, (ts, event_id)) AS value FROM (SELECT event_type, user_id, ts, event_id, event_id AS value FROM events) GROUP BY 1, 2""")
 def prefs_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last value of each preference."""
+    """The last value of each preference."""
     log = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "user_id", "ts", "event_id", F.col("event_id").cast("string").alias("value"))
     return relations.latest(log, ["key", "user_id"], ["ts", "event_id"]).select("key", "user_id", "value")
 
 
-@query("""WITH t AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'banyak' WHEN 'click' THEN ' ' || json_extract_string(props, '$.k') || ' ' WHEN 'signup' THEN json_extract_string(props, '$.k') || '.5' WHEN 'view' THEN '-' || json_extract_string(props, '$.k') ELSE json_extract_string(props, '$.k') END AS raw FROM events)
+@query("""WITH t AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'plenty' WHEN 'click' THEN ' ' || json_extract_string(props, '$.k') || ' ' WHEN 'signup' THEN json_extract_string(props, '$.k') || '.5' WHEN 'view' THEN '-' || json_extract_string(props, '$.k') ELSE json_extract_string(props, '$.k') END AS raw FROM events)
 SELECT event_id, CASE WHEN regexp_full_match(trim(raw), '[+]?[0-9]+') THEN try_cast(trim(raw) AS BIGINT) END AS value FROM t""")
 def prefs_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tolerant whole numbers: trimmed, else null."""
     k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
-    raw = F.when(kind == "error", "banyak").when(kind == "click", F.concat(F.lit(" "), k, F.lit(" "))).when(kind == "signup", F.concat(k, F.lit(".5"))).when(kind == "view", F.concat(F.lit("-"), k)).otherwise(k)
+    raw = F.when(kind == "error", "plenty").when(kind == "click", F.concat(F.lit(" "), k, F.lit(" "))).when(kind == "signup", F.concat(k, F.lit(".5"))).when(kind == "view", F.concat(F.lit("-"), k)).otherwise(k)
     return table(spark, sf_dir, "events").select("event_id", fn.tolerant_int(raw).alias("value"))
 
 
@@ -74,7 +74,7 @@ def has_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l.doc_id, CASE WHEN sha256(d.text) = sha256(CASE WHEN l.toxic = 1 THEN d.text || '!' ELSE d.text END) THEN l.quality END AS ops FROM labels l JOIN documents d USING (doc_id)""")
 def draft_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A draft (label) is withheld, not deleted, when its base hash is not the file's."""
+    """A draft (label) is withheld, not deleted, when its base hash is not the file's."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = table(spark, sf_dir, "labels").join(d, "doc_id")
     base = F.sha2(F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256)
@@ -105,27 +105,31 @@ def content_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH u AS (SELECT page_id, replace(url, '/', '\') AS path FROM pages) SELECT page_id, replace(path, '\', '/') AS path, sha256(replace(path, '\', '/')) AS hash, sha256(lower(replace(path, '\', '/'))) AS folded,
 coalesce(nullif(split_part(replace(path, '\', '/'), '/', -1), ''), replace(path, '\', '/')) AS name FROM u""")
 def path_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths with slashes one way, their identity with and without case, and base names."""
+    """Paths with slashes one way, their identity with and without case, and base names."""
     path = F.replace(F.col("url"), F.lit("/"), F.lit("\\"))
     plain = fn.normal_path(path)
     return table(spark, sf_dir, "pages").select("page_id", plain.alias("path"), F.sha2(plain, 256).alias("hash"), F.sha2(fn.normal_path(path, True), 256).alias("folded"), fn.base_name(plain).alias("name"))
 
 
-@query("""SELECT r_regionkey AS seq, 0 AS depth, r_name AS title, r_regionkey::VARCHAR AS path FROM region
-UNION ALL SELECT n_nationkey, 1, n_name, n_regionkey || '/' || n_nationkey FROM nation
-UNION ALL SELECT c_custkey, 2, c_name, n_regionkey || '/' || n_nationkey || '/' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey""")
-def outline_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A three-level tree from parent links to rows with depth and path in preorder."""
+def outline_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations and customers as nodes with their parents."""
     key = lambda p, k: F.concat(F.lit(p), k.cast("string"))
     r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
-    links = (
+    return (
         r.select(key("r", F.col("r_regionkey")).alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_regionkey").cast("long").alias("seq"), F.col("r_name").alias("title"))
         .unionByName(n.select(key("n", F.col("n_nationkey")).alias("id"), key("r", F.col("n_regionkey")).alias("parent"), F.col("n_nationkey").cast("long").alias("seq"), F.col("n_name").alias("title")))
         .unionByName(c.select(key("c", F.col("c_custkey")).alias("id"), key("n", F.col("c_nationkey")).alias("parent"), F.col("c_custkey").alias("seq"), F.col("c_name").alias("title")))
     )
+
+
+@query("""SELECT r_regionkey AS seq, 0 AS depth, r_name AS title, r_regionkey::VARCHAR AS path FROM region
+UNION ALL SELECT n_nationkey, 1, n_name, n_regionkey || '/' || n_nationkey FROM nation
+UNION ALL SELECT c_custkey, 2, c_name, n_regionkey || '/' || n_nationkey || '/' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def outline_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A three-level tree from parent links to rows with depth and path."""
     from leafmill.operators import outline
 
-    return outline.flatten(links, levels=3).select("seq", "depth", "title", F.array_join(F.transform("path", lambda k: k.cast("string")), "/").alias("path"))
+    return outline.flatten(outline_links(spark, sf_dir), levels=3).select("seq", "depth", "title", F.array_join(F.transform("path", lambda k: k.cast("string")), "/").alias("path"))
 
 
 _URI = """CASE event_id % 8 WHEN 0 THEN 'doc://' WHEN 1 THEN 'http://doc.localhost/' WHEN 2 THEN 'doc://localhost/' WHEN 3 THEN 'doc:///' WHEN 4 THEN 'file:///' ELSE 'doc://' END
@@ -158,7 +162,7 @@ def anti_missing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p.p_partkey, CASE WHEN s.s_suppkey IS NULL THEN 'UnknownDocument' ELSE 'Found' END AS state, s.s_nationkey AS worker, coalesce(s.s_nationkey % 4, 0)::INT AS rotation FROM part p LEFT JOIN supplier s ON s.s_suppkey = p.p_partkey""")
 def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents to workers; a miss is an unknown document, a missing rotation is 0."""
+    """Documents to workers; a miss is an unknown document, a missing rotation is 0."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("p_partkey"), "s_nationkey")
     got = table(spark, sf_dir, "part").select("p_partkey").join(s, "p_partkey", "left")
     return got.select("p_partkey", F.when(F.col("s_nationkey").isNull(), "UnknownDocument").otherwise("Found").alias("state"), F.col("s_nationkey").alias("worker"), F.coalesce(F.col("s_nationkey") % 4, F.lit(0)).cast("int").alias("rotation"))
@@ -176,7 +180,7 @@ def pool_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT r_regionkey, '{"kind":"' || r_name || '","page":' || r_regionkey || '}' AS payload, r_regionkey AS page, r_name || ' v1.' || r_regionkey AS title, (r_regionkey * 3) || ':' || r_name || ':' || r_regionkey % 4 AS signature, round(r_regionkey / 255.0::DOUBLE, 9) AS red FROM region""")
 def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads to JSON and back, assembled titles and signatures, colours."""
+    """Payloads to JSON and back, assembled titles and signatures, colours."""
     r = table(spark, sf_dir, "region").withColumn("payload", F.to_json(F.struct(F.col("r_name").alias("kind"), F.col("r_regionkey").alias("page"))))
     return r.select(
         "r_regionkey",
@@ -190,6 +194,6 @@ def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, (list_position(list_sort(o), 1) IS NULL)::BOOLEAN AS none, len(o)::INT AS n FROM (SELECT o_orderkey, list_distinct(list_value(o_orderkey % 7, o_custkey % 7, 3)) AS o FROM orders)""")
 def array_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered distinct and subset tests on arrays."""
+    """Ordered distinct and subset tests on arrays."""
     o = F.array_distinct(F.array(F.col("o_orderkey") % 7, F.col("o_custkey") % 7, F.lit(3).cast("long")))
     return table(spark, sf_dir, "orders").select("o_orderkey", (F.size(F.array_except(F.array(F.lit(1).cast("long")), o)) > 0).alias("none"), F.size(o).alias("n"))

@@ -36,12 +36,12 @@ def regex_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]{3}-[0-9]{2}|@mail")).select("doc_id")
 
 
-@query(f"""WITH d AS (SELECT doc_id, text FROM documents WHERE lang NOT IN ('de', 'es') UNION ALL SELECT doc_id, 'anotasi sorotan ' || lang FROM documents WHERE lang = 'es'),
+@query(f"""WITH d AS (SELECT doc_id, text FROM documents WHERE lang NOT IN ('de', 'es') UNION ALL SELECT doc_id, 'marked passage ' || lang FROM documents WHERE lang = 'es'),
 t AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS token FROM d) SELECT token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY token""")
 def fts_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies after German documents were deleted and Spanish ones rewritten."""
     d = table(spark, sf_dir, "documents")
-    new = d.where("lang = 'es'").select("doc_id", F.concat(F.lit("anotasi sorotan "), "lang").alias("text"))
+    new = d.where("lang = 'es'").select("doc_id", F.concat(F.lit("marked passage "), "lang").alias("text"))
     now = ops.synced(d.select("doc_id", "text"), d.where("lang = 'de'").select("doc_id"), new, "doc_id")
     return ops.frequencies(now, "doc_id", "text")
 

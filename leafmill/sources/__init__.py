@@ -64,7 +64,7 @@ def in_memory(spark: SparkSession, name: str, rows: list) -> DataFrame:
 def stamps(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """path, size and mtime in whole seconds of files, by name; contents are not read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return found.select("path", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
+    return found.select("path", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime")).orderBy("path")
 
 
 def contents(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -116,6 +116,11 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
+def log_lines(log: DataFrame, time: str = "ts") -> DataFrame:
+    """date and line: log rows as JSON, with the day whose folder they go to."""
+    return log.select(F.to_date(time).alias("date"), F.to_json(F.struct(*log.columns)).alias("line"))
+
+
 def write_log(log: DataFrame, path: str, time: str = "ts") -> None:
     """Log rows as JSON, a folder for each day."""
     log.withColumn("date", F.to_date(time)).write.mode("append").partitionBy("date").json(path)

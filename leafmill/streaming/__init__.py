@@ -39,12 +39,12 @@ def lru(accesses: DataFrame, budget: int, least: int = 0) -> DataFrame:
                 cache.held[k] = s
                 cache.bytes += s
         rows = pd.concat(list(batches)).sort_values("seq")
-        done = [(cache.access(k, int(s)), cache.evictions, cache.bytes) for k, s in zip(rows["key"], rows["bytes"], strict=True)]
+        done = [(cache.access(k, int(s)), cache.evictions, len(cache.held), cache.bytes) for k, s in zip(rows["key"], rows["bytes"], strict=True)]
         state.update((list(cache.held), list(cache.held.values()), cache.evictions))
-        outcome, evictions, held = zip(*done, strict=True)
-        yield pd.DataFrame({"cache": rows["cache"], "seq": rows["seq"], "outcome": outcome, "evictions": evictions, "held": held})
+        outcome, evictions, entries, held = zip(*done, strict=True)
+        yield pd.DataFrame({"cache": rows["cache"], "seq": rows["seq"], "outcome": outcome, "evictions": evictions, "entries": entries, "held": held})
 
-    out, kept = "cache long, seq long, outcome string, evictions long, held long", "keys array<string>, sizes array<long>, evictions long"
+    out, kept = "cache long, seq long, outcome string, evictions long, entries long, held long", "keys array<string>, sizes array<long>, evictions long"
     return accesses.groupBy("cache").applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -54,14 +54,14 @@ def strikes(deaths: DataFrame) -> DataFrame:
 
 
 def debounced(rows: DataFrame, key: str, time: str, value: str, silence: str, late: str) -> DataFrame:
-    """The last value of each burst, once its silence and the allowed lateness have passed."""
+    """The last value of each burst, once its silence and the allowed lateness have passed; of equal times, the greatest value."""
     burst = F.session_window(time, silence)
-    return rows.withWatermark(time, late).groupBy(key, burst).agg(F.max_by(value, time).alias(value), F.max(time).alias(time)).drop("session_window")
+    return rows.withWatermark(time, late).groupBy(key, burst).agg(F.max_by(value, F.struct(time, value)).alias(value), F.max(time).alias(time)).drop("session_window")
 
 
 def frames(rows: DataFrame, key: str, time: str, value: str, width: str, late: str) -> DataFrame:
-    """At most one draw for each frame: its last value."""
-    return rows.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.max_by(value, time).alias(value), F.count("*").alias("merged")).select(F.col("w.start").alias("frame"), key, value, "merged")
+    """At most one draw for each frame: its last value, of equal times the greatest."""
+    return rows.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.max_by(value, F.struct(time, value)).alias(value), F.count("*").alias("merged")).select(F.col("w.start").alias("frame"), key, value, "merged")
 
 
 def claimed(requests: DataFrame, key: str, time: str, late: str) -> DataFrame:
@@ -91,3 +91,8 @@ def heartbeats(beats: DataFrame, hung_ms: int) -> DataFrame:
         state.setTimeoutDuration(hung_ms)
 
     return beats.groupBy("worker").applyInPandasWithState(run, "worker long, last long, health string", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def polled(rows: DataFrame, every: str = "2 seconds"):
+    """A writer that looks at ``rows`` at each poll and takes what is new."""
+    return rows.writeStream.trigger(processingTime=every)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill import functions as fn
 from leafmill import sources
-from leafmill.operators import layout, motion, outline, relations, schedule, stats, supervise, text, tiles, uri
+from leafmill.operators import display, layout, motion, outline, relations, schedule, stats, supervise, text, tiles, uri
 
 
 def one(spark, *columns):
@@ -22,7 +22,7 @@ def test_scale_and_pages(spark):
 
 
 def test_numbers(spark):
-    values = [("512", 512), ("banyak", None), (" 512 ", 512), ("1.5", None), ("-3", None), ("99999999999999999999", None)]
+    values = [("512", 512), ("plenty", None), (" 512 ", 512), ("1.5", None), ("-3", None), ("99999999999999999999", None)]
     assert [one(spark, fn.tolerant_int(F.lit(v)))[0] for v, _ in values] == [x for _, x in values]
     assert [one(spark, fn.pool_size(F.lit(c)))[0] for c in (1, 2, 4, 8, 16, 64)] == [2, 2, 2, 4, 8, 8]
     assert one(spark, fn.backoff_ms(F.lit(20)))[0] == 30000
@@ -117,10 +117,10 @@ def test_lines(spark, chars, lines):
 
 
 def test_search(spark):
-    docs = spark.createDataFrame([(1, "anotasi sorotan halaman"), (2, "Café CAFE"), (3, None)], "doc long, text string")
-    assert [r["doc"] for r in text.matching(docs, "text", "sorotan").collect()] == [1]
+    docs = spark.createDataFrame([(1, "a marked passage"), (2, "Café CAFE"), (3, None)], "doc long, text string")
+    assert [r["doc"] for r in text.matching(docs, "text", "passage").collect()] == [1]
     gone = text.synced(docs, docs.where("doc = 1").select("doc"), docs.limit(0), "doc")
-    assert text.matching(gone, "text", "sorotan").count() == 0
+    assert text.matching(gone, "text", "passage").count() == 0
     cafe = {r["token"]: r for r in text.postings(docs.where("doc = 2"), "doc", "text").collect()}
     assert cafe["cafe"]["tf"] == 2 and cafe["cafe"]["positions"] == [0, 1]
     assert [r["hits"] for r in text.search(docs, "text", "cafe").collect()] == [1]
@@ -242,3 +242,64 @@ def test_outline(spark):
     links = spark.createDataFrame([("a", None, 1, "A"), ("b", "a", 1, "B"), ("c", "b", 1, "C"), ("x", "y", 1, "X"), ("y", "x", 1, "Y")], "id string, parent string, seq long, title string")
     flat = outline.preorder(outline.flatten(links, 5)).collect()
     assert [(r["title"], r["depth"]) for r in flat] == [("A", 0), ("B", 1), ("C", 2)]
+
+
+def test_display(spark):
+    lit = lambda x: F.lit(float(x))
+    for turns, want in enumerate([(10.0, 20.0, 30.0, 60.0), (20.0, 70.0, 60.0, 90.0), (70.0, 140.0, 90.0, 180.0), (140.0, 10.0, 180.0, 30.0)]):
+        rect = display.turned_rect(lit(10), lit(20), lit(30), lit(60), lit(100), lit(200), F.lit(turns))
+        assert tuple(one(spark, *rect)) == want
+        # the whole page as one tile of its own size: corners map to corners
+        w, h = (100.0, 200.0) if turns % 2 == 0 else (200.0, 100.0)
+        m = display.tile_map(lit(0), lit(h), lit(w), lit(0), lit(w), lit(h), lit(100), lit(200), F.lit(turns))
+        corners = [tuple(one(spark, *tiles.applied(m, lit(x), lit(y)))) for x, y in ((0, 0), (100, 200))]
+        assert sorted(corners) != corners[:1] * 2 and all({0.0, s} >= {c[k] for c in corners} for k, s in ((0, w), (1, h)))
+    lists = [([], True), (["push_clip", "draw", "pop_clip"], True), (["push_clip", "pop_transform"], False), (["pop_clip"], False), (["push_clip"], False), (["push_clip", "push_transform", "pop_transform", "pop_clip"], True), (["push_clip", "push_transform", "pop_clip", "pop_transform"], False), (["pop_clip", "push_clip"], False)]
+    assert [one(spark, display.balanced(F.array(*map(F.lit, ops)).cast("array<string>")))[0] for ops, _ in lists] == [ok for _, ok in lists]
+    bgra = F.lit(bytearray([1, 2, 3, 4, 5, 6, 7, 8, 9, 9]))
+    assert bytes(one(spark, display.swizzled(display.used_bytes(bgra, F.lit(4), F.lit(2))))[0]) == bytes([3, 2, 1, 4, 7, 6, 5, 8])
+    white, dark = [255, 255, 250, 0], [255, 249, 255, 255]
+    rows = spark.createDataFrame([(1, bytearray(white * 4)), (2, bytearray(white * 3 + dark)), (3, bytearray(dark * 2 + white * 2))], "id long, px binary")
+    got = {r["id"]: (r["ink"], r["quadrant"]) for r in display.ink(rows, "id", "px", F.lit(2), F.lit(2)).collect()}
+    assert got == {1: (0.0, 0), 2: (0.25, 3), 3: (0.5, 0)}
+
+
+def test_shed_on_arrival(spark):
+    """Against a plain list of waiting jobs."""
+    import random
+
+    r = random.Random(1)
+    rows = [(k % 3, k, r.randrange(3)) for k in range(400)]
+    got = {r["seq"]: (r["outcome"], r["after"]) for r in schedule.shed_on_arrival(spark.createDataFrame(rows, "user_id long, seq long, priority int"), "user_id", 5, 2).collect()}
+    want = {seq: ("queued", None) for _, seq, _ in rows}
+    for user in range(3):
+        waiting = []
+        for n, (_, seq, priority) in enumerate([x for x in rows if x[0] == user], 1):
+            waiting.append((priority, seq))
+            if len(waiting) > 5:
+                lowest = min(waiting)
+                waiting.remove(lowest)
+                want[lowest[1]] = ("shed", n)
+            if n % 2 == 0:
+                first = min(waiting, key=lambda x: (-x[0], x[1]))
+                waiting.remove(first)
+                want[first[1]] = ("served", n)
+    assert got == want and len({o for o, _ in got.values()}) == 3
+
+
+def test_folded(spark):
+    rows = ["Café CAFE", None, "ascii", "Ǆ ß Ŵỳ", "日本 é", "é 한글", "– É"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    got = {r["id"]: r["text"] for r in text.folded(docs, "text").collect()}
+    assert got == {k: None if t is None else text.bare(t).lower() for k, t in enumerate(rows)}
+
+
+def test_store_lookups(spark):
+    files = spark.createDataFrame([(1, "/a/b.pdf", True), (2, "/a/C.pdf", False)], "id long, path string, pinned boolean").withColumn("path_hash", F.sha2("path", 256))
+    assert [r["id"] for r in relations.find(files, "\\a\\b.pdf").collect()] == [1] and relations.find(files, "/a/c.pdf").count() == 0
+    set_to = spark.createDataFrame([(1, False), (9, True)], "id long, pinned boolean")
+    assert {r["id"]: r["pinned"] for r in relations.pinned(files, set_to, "id").collect()} == {1: False, 2: False}
+    there = spark.createDataFrame([("/a/C.pdf",), ("/a/C.pdf",)], "path string")
+    assert {r["id"]: r["available"] for r in relations.available(files, there).collect()} == {1: False, 2: True}
+    hello = spark.createDataFrame([(1, 3), (2, 4), (3, None)], "id long, protocol int")
+    assert {r["id"]: r["greeting"] for r in relations.greeted(hello, "protocol", 3).collect()} == {1: "Accepted", 2: "ProtocolMismatch", 3: "NoHandshake"}

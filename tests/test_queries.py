@@ -33,7 +33,7 @@ def same(a: pd.DataFrame, b: pd.DataFrame) -> None:
     assert len(a) == len(b)
     for c in a.columns:
         if a[c].dtype == float and b[c].dtype == float:
-            assert np.allclose(a[c], b[c], equal_nan=True, atol=1e-6), c
+            assert np.allclose(a[c], b[c], equal_nan=True, rtol=1e-12, atol=1e-6), c
         else:
             left, right = (x.astype(str).str[:10] if c in ("day",) else x.astype(str) for x in (a[c], b[c]))
             assert (left == right).all(), c
