@@ -144,12 +144,12 @@ def crash_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("event_type = 'view'").join(died, ["user_id", "day"]).where("ts < died").join(struck, "user_id").select("user_id", "day", "event_id", "quarantined")
 
 
-@query("""SELECT s.s_suppkey AS worker, count(l.l_orderkey) AS load FROM supplier s LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R') l ON l.l_suppkey = s.s_suppkey GROUP BY 1""")
+@query("""SELECT s.s_suppkey AS worker, count(l.l_orderkey) AS load FROM supplier s LEFT JOIN lineitem l ON l.l_suppkey = s.s_suppkey GROUP BY 1""")
 def worker_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (line items) on each worker (supplier), workers without any included."""
-    items = table(spark, sf_dir, "lineitem").where("l_quantity > 49 AND l_returnflag = 'R'")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("worker"))
     workers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("worker"))
-    return supervise.loads(workers, items.withColumnRenamed("l_suppkey", "worker"), "worker")
+    return supervise.loads(workers, items, "worker")
 
 
 @query("""WITH l AS (SELECT s.s_nationkey AS pool, s.s_suppkey AS worker, count(i.l_orderkey) AS load FROM supplier s LEFT JOIN lineitem i ON i.l_suppkey = s.s_suppkey GROUP BY 1, 2),

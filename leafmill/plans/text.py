@@ -65,8 +65,8 @@ def line_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("o_custkey", F.posexplode(ops.lines(F.col("chars"))).alias("line", "x")).select("o_custkey", "line", "x.*")
 
 
-@query("SELECT doc_id, sha256(regexp_replace(text, '[\\x00]', '', 'g')) AS hash, trim(substr(text, 1, 40)) AS title FROM documents")
+@query("SELECT doc_id, sha256(regexp_replace(text, '[\\x00]', '', 'g')) AS hash, trim(split_part(text, chr(10), 1)) AS title FROM documents")
 def decoded_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text through UTF-16LE and back without NUL, and trimmed titles."""
+    """Text through UTF-16LE and back without NUL, and the trimmed first line as its title."""
     back = F.replace(F.decode(F.encode("text", "UTF-16LE"), "UTF-16LE"), F.lit("\x00"), F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(back, 256).alias("hash"), F.trim(F.substring(back, 1, 40)).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(back, 256).alias("hash"), F.trim(F.substring_index(back, "\n", 1)).alias("title"))
