@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill import functions as fn
+from leafmill.operators.sequential import carried
 
 SMOOTHING = 0.6
 
@@ -14,20 +15,30 @@ def velocity(samples: DataFrame, key: str, time: str, offset: str, tie: str) ->
     """Exponentially smoothed velocity of each key's samples, in units a second.
 
     A sample within a millisecond of the last one used is dropped and does not
-    move it, so this is an ordered fold and no window over neighbours.
+    move it, so this follows the samples one by one and is no window over neighbours.
+    Samples without a time or an offset do not count.
     """
-    at = F.unix_micros(F.col(time).cast("timestamp")) / 1000.0
-    ordered = F.sort_array(F.collect_list(F.struct(at.alias("t"), F.col(tie).alias("tie"), F.col(offset).cast("double").alias("o"))))
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("o"), F.lit(0.0).alias("v"))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = x["t"] - acc["t"]
-        instant = (x["o"] - acc["o"]) / gap * 1000
-        moved = F.struct(x["t"].alias("t"), x["o"].alias("o"), (acc["v"] * SMOOTHING + instant * (1 - SMOOTHING)).alias("v"))
-        seed = F.struct(x["t"].alias("t"), x["o"].alias("o"), F.lit(0.0).alias("v"))
-        return F.when(acc["t"].isNull(), seed).when(gap < 1, acc).otherwise(moved)
+    def begin():
+        last: dict[str, float | None] = {"at": None, "offset": None}
+        speed = 0.0
+
+        def step(at, tie, offset):
+            nonlocal speed
+            if last["at"] is not None:
+                gap = at - last["at"]
+                if gap < 1:
+                    return ()
+                speed = speed * SMOOTHING + (offset - last["offset"]) / gap * 1000 * (1 - SMOOTHING)
+            last.update(at=at, offset=offset)
+            return ()
 
-    return samples.groupBy(key).agg(F.aggregate(ordered, start, step, lambda a: a["v"]).alias("velocity"))
+        return step, lambda: [(speed,)]
+
+    at = F.unix_micros(F.col(time).cast("timestamp")) / 1000.0
+    rows = samples.select(key, at.alias("__at"), F.col(tie).alias("__tie"), F.col(offset).cast("double").alias("__offset"))
+    known = rows.where("__at IS NOT NULL AND __offset IS NOT NULL")
+    return carried(known, [key], ["__at", "__tie"], begin, {"velocity": "double"})
 
 
 def prefetch(visible: Column, speed: Column, pages: Column) -> Column:

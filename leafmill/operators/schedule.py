@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import heapq
+import math
+from collections import OrderedDict, deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.sequential import carried, nothing_more
+
 CAPACITY = 512
 
 
@@ -21,20 +24,22 @@ def gated(requests: DataFrame, document: str, generation: str, order: list[str],
 def coalesced(requests: DataFrame, keys: list[str], time: str, number: str, seconds: float) -> DataFrame:
     """Each request with the one that renders it: the first of its key, until that one has taken so long.
 
-    A joiner does not prolong the render it joins, so leaders follow from a fold.
+    A joiner does not prolong the render it joins, so leaders follow one another.
     """
-    at = F.unix_micros(F.col(time).cast("timestamp"))
-    ordered = F.sort_array(F.collect_list(F.struct(at.alias("t"), F.col(number).alias("n"))))
-    none = F.lit(None).cast("bigint")
-    start = F.struct(none.alias("t"), none.alias("n"), F.array().cast("array<struct<number:bigint,leader:bigint>>").alias("out"))
+    span = int(seconds * 1e6)
+
+    def begin():
+        led = {"at": None, "number": None}
 
-    def step(acc: Column, x: Column) -> Column:
-        leads = acc["t"].isNull() | (x["t"] - acc["t"] >= int(seconds * 1e6))
-        leader = F.when(leads, x["n"]).otherwise(acc["n"])
-        return F.struct(F.when(leads, x["t"]).otherwise(acc["t"]).alias("t"), leader.alias("n"), F.concat(acc["out"], F.array(F.struct(x["n"].alias("number"), leader.alias("leader")))).alias("out"))
+        def step(at, number):
+            if led["at"] is None or (at is not None and at - led["at"] >= span):
+                led.update(at=at, number=number)
+            return [(number, led["number"])]
 
-    folded = requests.groupBy(*keys).agg(F.aggregate(ordered, start, step, lambda a: a["out"]).alias("out"))
-    return folded.select(*keys, F.inline("out"))
+        return step, nothing_more
+
+    rows = requests.select(*keys, F.unix_micros(F.col(time).cast("timestamp")).alias("__at"), F.col(number).cast("long").alias("__number"))
+    return carried(rows, keys, ["__at", "__number"], begin, {"number": "long", "leader": "long"})
 
 
 def dispatched(requests: DataFrame, queue: str, capacity: int = CAPACITY) -> DataFrame:
@@ -72,15 +77,17 @@ class Lru:
 def lru(accesses: DataFrame, cache: str, budget: int, least: int = 0) -> DataFrame:
     """The outcome of each access (cache, seq, key, bytes) with evictions and bytes after it; caches are independent."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = Lru(budget, least), []
-        rows = rows.sort_values("seq")
-        for key, size in zip(rows["key"], rows["bytes"], strict=True):
-            out.append((state.access(key, int(size)), state.evictions, len(state.held), state.bytes))
-        outcome, evictions, entries, held = zip(*out, strict=True)
-        return pd.DataFrame({cache: rows[cache], "seq": rows["seq"], "outcome": outcome, "evictions": evictions, "entries": entries, "held": held})
+    def begin():
+        state = Lru(budget, least)
+
+        def step(seq, key, size):
+            outcome = state.access(key, size)
+            return [(seq, outcome, state.evictions, len(state.held), state.bytes)]
 
-    return accesses.select(cache, "seq", "key", "bytes").groupBy(cache).applyInPandas(run, f"{cache} long, seq long, outcome string, evictions long, entries long, held long")
+        return step, nothing_more
+
+    rows = accesses.select(cache, "seq", "key", F.coalesce(F.col("bytes").cast("long"), F.lit(0)).alias("bytes"))
+    return carried(rows, [cache], ["seq"], begin, {"seq": "long", "outcome": "string", "evictions": "long", "entries": "long", "held": "long"})
 
 
 def ring(claims: DataFrame, name: str, slots: int) -> DataFrame:
@@ -89,50 +96,58 @@ def ring(claims: DataFrame, name: str, slots: int) -> DataFrame:
     A row with ``free`` gives back the slot that was claimed longest ago.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def begin():
         ready: OrderedDict[int, int] = OrderedDict()
-        turn, out = 0, []
-        rows = rows.sort_values("seq")
-        for generation, free in zip(rows["generation"], rows["free"], strict=True):
+        turn = 0
+
+        def step(seq, generation, free):
+            nonlocal turn
             if free:
                 slot = next(iter(ready), -1)
                 ready.pop(slot, None)
-                out.append((slot, "freed" if slot >= 0 else "empty"))
-                continue
-            empty = [s for s in ((turn + k) % slots for k in range(slots)) if s not in ready]
-            slot = empty[0] if empty else min(ready, key=lambda s: (ready[s], s))
-            out.append((slot, "claimed" if empty else "reclaimed"))
+                return [(seq, slot, "freed" if slot >= 0 else "empty")]
+            empty = next((s for s in ((turn + k) % slots for k in range(slots)) if s not in ready), None)
+            slot = min(ready, key=lambda s: (ready[s], s)) if empty is None else empty
             ready.pop(slot, None)
-            ready[slot] = int(generation)
+            ready[slot] = generation
             turn = (slot + 1) % slots
-        slot, state = zip(*out, strict=True)
-        return pd.DataFrame({name: rows[name], "seq": rows["seq"], "slot": slot, "state": state})
+            return [(seq, slot, "reclaimed" if empty is None else "claimed")]
+
+        return step, nothing_more
 
-    return claims.select(name, "seq", "generation", "free").groupBy(name).applyInPandas(run, f"{name} long, seq long, slot int, state string")
+    rows = claims.select(name, "seq", F.coalesce(F.col("generation").cast("long"), F.lit(0)).alias("generation"), "free")
+    return carried(rows, [name], ["seq"], begin, {"seq": "long", "slot": "int", "state": "string"})
 
 
 def workers(jobs: DataFrame, pool: str, width: int) -> DataFrame:
-    """When each job (pool, seq, arrival, priority, took) starts and on which worker: highest priority first, one job each."""
-    import heapq
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["arrival", "seq"])
-        todo = list(zip(rows["arrival"], -rows["priority"], rows["seq"], rows["took"], strict=True))
-        idle, waiting, out, at = [(0.0, w) for w in range(width)], [], [], 0
-        while at < len(todo) or waiting:
-            free, worker = heapq.heappop(idle)
-            if not waiting:
-                free = max(free, todo[at][0])
-            while at < len(todo) and todo[at][0] <= free:
-                heapq.heappush(waiting, todo[at][1:])
-                at += 1
-            _, seq, took = heapq.heappop(waiting)
-            out.append((seq, free, worker))
-            heapq.heappush(idle, (free + took, worker))
-        seq, start, worker = zip(*out, strict=True)
-        return pd.DataFrame({pool: rows[pool].iloc[0], "seq": seq, "start": start, "worker": worker})
-
-    return jobs.select(pool, "seq", "arrival", "priority", "took").groupBy(pool).applyInPandas(run, f"{pool} long, seq long, start double, worker int")
+    """When each job (pool, seq, arrival, priority, took) starts and on which worker: highest priority first, one job each.
+
+    No job starts before it arrives; only the idle workers and the waiting jobs are held.
+    """
+
+    def begin():
+        idle, waiting = [(0.0, w) for w in range(width)], []
+        now = 0.0
+
+        def start(before: float):
+            while waiting and max(idle[0][0], now) < before:
+                free, worker = heapq.heappop(idle)
+                _, seq, took = heapq.heappop(waiting)
+                at = max(free, now)
+                heapq.heappush(idle, (at + took, worker))
+                yield seq, at, worker
+
+        def step(arrival, seq, priority, took):
+            nonlocal now
+            began = list(start(arrival))
+            now = arrival
+            heapq.heappush(waiting, (-priority, seq, took))
+            return began
+
+        return step, lambda: start(math.inf)
+
+    rows = jobs.select(pool, "arrival", "seq", "priority", "took")
+    return carried(rows, [pool], ["arrival", "seq"], begin, {"seq": "long", "start": "double", "worker": "int"})
 
 
 def shed_on_arrival(jobs: DataFrame, queue: str, capacity: int = CAPACITY, every: int = 1) -> DataFrame:
@@ -142,22 +157,28 @@ def shed_on_arrival(jobs: DataFrame, queue: str, capacity: int = CAPACITY, every
     priority there, itself included; after every so many arrivals the oldest of
     the highest priority is served.
     """
-    from collections import deque
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
+    def begin():
         waiting: dict[int, deque] = {}
-        held, fate = 0, {}
-        for n, (seq, priority) in enumerate(zip(rows["seq"], rows["priority"], strict=True), 1):
-            waiting.setdefault(int(priority), deque()).append(seq)
-            held += 1
-            while held > capacity:
-                fate[waiting[min(p for p, w in waiting.items() if w)].popleft()] = ("shed", n)
-                held -= 1
-            if n % every == 0 and held:
-                fate[waiting[max(p for p, w in waiting.items() if w)].popleft()] = ("served", n)
-                held -= 1
-        outcome, after = zip(*(fate.get(s, ("queued", None)) for s in rows["seq"]), strict=True)
-        return pd.DataFrame({queue: rows[queue], "seq": rows["seq"], "outcome": outcome, "after": pd.array(after, "Int64")})
-
-    return jobs.select(queue, "seq", "priority").groupBy(queue).applyInPandas(run, f"{queue} long, seq long, outcome string, after long")
+        held = arrived = 0
+
+        def first(choose):
+            """The oldest of a priority, which goes."""
+            nonlocal held
+            priority = choose(waiting)
+            seq = waiting[priority].popleft()
+            if not waiting[priority]:
+                del waiting[priority]
+            held -= 1
+            return seq
+
+        def step(seq, priority):
+            nonlocal held, arrived
+            waiting.setdefault(priority, deque()).append(seq)
+            held, arrived = held + 1, arrived + 1
+            shed = [(first(min), "shed", arrived)] if held > capacity else []
+            return shed + [(first(max), "served", arrived)] if arrived % every == 0 and held else shed
+
+        return step, lambda: ((seq, "queued", None) for seqs in waiting.values() for seq in seqs)
+
+    return carried(jobs.select(queue, "seq", "priority"), [queue], ["seq"], begin, {"seq": "long", "outcome": "string", "after": "long"})

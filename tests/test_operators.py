@@ -222,6 +222,26 @@ def test_rings_and_workers(spark):
     assert [(r["slot"], r["state"]) for r in got] == [(0, "claimed"), (1, "claimed"), (0, "reclaimed")]
     jobs = spark.createDataFrame([(1, 0, 0.0, 0, 5.0), (1, 1, 1.0, 1, 5.0), (1, 2, 2.0, 2, 5.0)], "pool long, seq long, arrival double, priority int, took double")
     assert [r["seq"] for r in schedule.workers(jobs, "pool", 1).orderBy("start").collect()] == [0, 2, 1]
+    jobs = spark.createDataFrame([(1, 0, 5.0, 0, 2.0), (1, 1, 5.0, 1, 9.0), (1, 2, 6.0, 0, 1.0), (1, 3, 20.0, 0, 1.0)], jobs.schema)
+    got = schedule.workers(jobs, "pool", 2).orderBy("start", "worker").collect()
+    assert [(r["seq"], r["start"], r["worker"]) for r in got] == [(1, 5.0, 0), (0, 5.0, 1), (2, 7.0, 1), (3, 20.0, 1)]
+
+
+def test_carried_over_batches(spark):
+    """A key's state survives the end of a batch; null keys are one key."""
+    rows = [(None if i % 3 == 0 else i % 3, i, "ab"[i % 2], 100) for i in range(300)]
+    made = spark.createDataFrame(rows, "cache long, seq long, key string, bytes long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["seq"]: r for r in schedule.lru(made, "cache", 150).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 300 and schedule.lru(made.limit(0), "cache", 150).count() == 0
+    for cache in (None, 1, 2):
+        state = schedule.Lru(150)
+        for c, seq, key, size in rows:
+            if c == cache:
+                assert (got[seq]["outcome"], got[seq]["evictions"]) == (state.access(key, size), state.evictions)
 
 
 @pytest.mark.parametrize(("loads", "active", "want"), [([3, 1, 7], None, 1), ([3, 1, 2], 1, 2), ([4], 0, 0), ([2, 2, 2], None, 0)])
