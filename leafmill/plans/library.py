@@ -158,7 +158,15 @@ def render_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.render_counters(held.join(F.broadcast(last)).withColumn("outcome", outcome), ["user_id"])
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, CASE event_type WHEN 'view' THEN 1 WHEN 'signup' THEN 0 ELSE 2 END * 1000000000000::BIGINT + event_id AS job, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+f AS (SELECT user_id, 0::BIGINT AS r, NULL::BIGINT AS shed, NULL::BIGINT AS served, []::BIGINT[] AS q FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, r, shed, served, list_filter(q, lambda j: j IS DISTINCT FROM served)
+FROM (SELECT user_id, r, shed, q, CASE WHEN r % 2 = 0 THEN list_min(list_filter(q, lambda j: j // 1000000000000 = list_max(q) // 1000000000000)) END AS served
+FROM (SELECT user_id, r, shed, list_filter(q, lambda j: j IS DISTINCT FROM shed) AS q
+FROM (SELECT user_id, r, q, CASE WHEN len(q) > 3 THEN list_min(q) END AS shed
+FROM (SELECT e.user_id, e.r, list_append(f.q, e.job) AS q FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)))))
+SELECT e.user_id, e.seq, CASE WHEN s.r IS NOT NULL THEN 'shed' WHEN v.r IS NOT NULL THEN 'served' ELSE 'queued' END AS outcome, coalesce(s.r, v.r) AS after
+FROM e LEFT JOIN f s ON s.user_id = e.user_id AND s.shed = e.job LEFT JOIN f v ON v.user_id = e.user_id AND v.served = e.job""")
 def arrival_shedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queues of three for each user, one served after every second arrival: what is shed as jobs arrive."""
     kind = F.col("event_type")

@@ -158,7 +158,13 @@ def ring_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.ring(claims, "user_id", 4)
 
 
-@query()
+@query("""WITH RECURSIVE j AS (SELECT user_id, list({'at': epoch_us(ts) / 1e6::DOUBLE, 'p': CASE event_type WHEN 'view' THEN -1 WHEN 'signup' THEN 0 ELSE -2 END, 's': event_id, 'took': value * 600} ORDER BY ts, event_id) AS todo FROM events GROUP BY user_id),
+f AS (SELECT user_id, todo, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0::BIGINT AS seq, 0.0::DOUBLE AS start, -1 AS worker FROM j
+UNION ALL SELECT user_id, list_filter(todo, lambda x: x.s <> seq), CASE worker WHEN 0 THEN start + took ELSE w0 END, CASE worker WHEN 1 THEN start + took ELSE w1 END, seq, start, worker
+FROM (SELECT user_id, todo, w0, w1, start, worker, best.s AS seq, best.took AS took
+FROM (SELECT *, list_sort(list_transform(list_filter(todo, lambda x: x.at <= start), lambda x: {'p': x.p, 's': x.s, 'took': x.took}))[1] AS best
+FROM (SELECT user_id, todo, w0, w1, greatest(least(w0, w1), todo[1].at) AS start, CASE WHEN w0 <= w1 THEN 0 ELSE 1 END AS worker FROM f WHERE len(todo) > 0))))
+SELECT user_id, seq, start, worker::INT AS worker FROM f WHERE worker >= 0""")
 def dispatch_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts of jobs on two workers for each user, by priority."""
     kind = F.col("event_type")
