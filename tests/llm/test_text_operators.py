@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import struct
 import textwrap
 import time
 import zlib
@@ -10,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from conftest_llm import edited, prose, texts  # noqa: F401
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -313,3 +315,50 @@ def test_fingerprints(documents, none):
         true = len(a & b) / len(a | b) if a | b else 1.0
         assert abs(r["near_edited"] - true) < 0.15, (d, true, r["near_edited"])
     assert len({r["fingerprint"] for r in mine if order[mine.index(r)][1] == prose(1, 200)}) == 1
+
+
+def plain_registers(text: str) -> list[int]:
+    """One-permutation MinHash of a text, bin by bin; Spark's hash runs on from value to value, from seed 42."""
+
+    def chained(*values: bytes) -> int:
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64(v, seed=seed).intdigest()
+        return seed
+
+    words = [struct.pack("<Q", chained(w.encode())) for w in re.findall(r"[^ \t-\r]+", text.lower())]
+    if not words:
+        return []
+    least: dict[int, int] = {}
+    for k in range(max(1, len(words) - 4)):
+        h = chained(*words[k : k + 5]) & (1 << 63) - 1
+        least[h >> 55] = min(h, least.get(h >> 55, h))
+    out = []
+    for j in range(256):
+        a, c = (chained(struct.pack("<i", j), struct.pack("<i", n)) & 255 for n in (1, 2))
+        probes = [j, *(((a | 1) * t + c) & 255 for t in range(256))]
+        out.append(next(least[b] for b in probes if b in least) & 255)
+    return out
+
+
+def test_fingerprints_by_force(spark):
+    """Fingerprints and likenesses equal a plain version's, on texts that fill all bins, a few or one."""
+    texts = [prose(n, n) for n in (1, 4, 5, 6, 12, 60, 400, 3000)] + ["", None, prose(3000, 3000) + " one more word", prose(400, 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(docs).collect()}
+    plain = [plain_registers(t or "") for t in texts]
+
+    def like(a, b):
+        if not a or not b:
+            return float(len(a) == len(b))
+        return max(0.0, (sum(x == y for x, y in zip(a, b)) / 256 - 1 / 256) / (1 - 1 / 256))
+
+    for k, t in enumerate(texts):
+        follows = texts[(k + 1) % len(texts)] or ""
+        t = t or ""
+        e = len(t) // 2
+        other = plain_registers(t[: len(t) - e] + follows[:e])
+        assert got[k]["fingerprint"] == bytes(plain[k]).hex(), k
+        assert got[k]["edited_fingerprint"] == bytes(other).hex(), k
+        assert abs(got[k]["near_edited"] - like(plain[k], other)) < 1e-12
+        assert abs(got[k]["near_next"] - like(plain[k], plain[(k + 1) % len(texts)])) < 1e-12
