@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, centroids, fingerprint, html, license, near_vectors, ngram_join, oracles, packing, quality, secrets, sharding
+from leafmill.llm import bpe, centroids, fingerprint, html, license, near_vectors, ngram_join, oracles, packing, quality, secrets, sharding, substrings
 from leafmill.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op11_substrings": op11_substrings,
     "op13_centroids": op13_centroids,
 }
 #: Hashes, tokens, markup and learnt scores are beyond SQL; the tests hold those operators against plain versions.
