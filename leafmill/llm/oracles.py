@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.llm import centroids, license, near_vectors, ngram_join, secrets, substrings
+from leafmill.llm import centroids, license, near_vectors, ngram_join, secrets, spelling, substrings
 
 
 def _quoted(text: str) -> str:
@@ -48,4 +48,4 @@ parts AS (SELECT a AS doc_id, min(c) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN parts USING (doc_id)"""
 
 
-ORACLES = {"op1_secrets": secret_scan(), "op2_near_vectors": near_vector_pairs(), "op3_ngram_join": shingle_links(), "op8_licenses": license.oracle(), "op11_substrings": substrings.oracle(), "op13_centroids": centroids.oracle()}
+ORACLES = {"op1_secrets": secret_scan(), "op2_near_vectors": near_vector_pairs(), "op3_ngram_join": shingle_links(), "op8_licenses": license.oracle(), "op11_substrings": substrings.oracle(), "op12_spelling": spelling.oracle(), "op13_centroids": centroids.oracle()}

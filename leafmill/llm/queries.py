@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, centroids, fingerprint, html, license, near_vectors, ngram_join, oracles, packing, quality, secrets, sharding, substrings
+from leafmill.llm import bpe, centroids, fingerprint, html, license, near_vectors, ngram_join, oracles, packing, quality, secrets, sharding, spelling, substrings
 from leafmill.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(table(spark, sf_dir, "embeddings"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
     "op11_substrings": op11_substrings,
+    "op12_spelling": op12_spelling,
     "op13_centroids": op13_centroids,
 }
 #: Hashes, tokens, markup and learnt scores are beyond SQL; the tests hold those operators against plain versions.
