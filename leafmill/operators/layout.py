@@ -1,10 +1,12 @@
-"""Page layout as windows over a document's pages, and visibility as interval joins."""
+"""Page layout as running sums over a document's pages, and visibility as interval joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators import prefix
+
 GAP, PADDING = 16.0, 24.0
 MODES = ("single", "horizontal", "dual", "dual_cover")
 BAND = 4096.0
@@ -19,32 +21,30 @@ def row_of(page: Column, mode: str) -> Column:
     return page.cast("int")
 
 
-def _before(value: Column, window) -> Column:
-    return F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-
-
 def layout(pages: DataFrame, document: str, mode: str, viewport: float, gap: float = GAP, padding: float = PADDING) -> DataFrame:
     """x, y, w, h, row, row_start and row_end of each page of each document.
 
     ``pages`` has the document, ``page`` from 0, ``width`` and ``height`` as
-    displayed and zoomed.  Windows are by document, so documents are spread.
+    displayed and zoomed.  Places come from two-level running sums, so that the
+    pages of one document are spread over tasks, too: only a document's ranges of
+    rows meet, and its greatest width and height.
     """
-    whole = Window.partitionBy(document)
     sized = pages.withColumn("w", F.greatest(F.lit(1.0), F.col("width"))).withColumn("h", F.greatest(F.lit(1.0), F.col("height"))).withColumn("row", row_of(F.col("page"), mode))
     if mode == "horizontal":
-        x = F.lit(padding) + _before(F.col("w") + gap, whole.orderBy("page"))
-        placed = sized.withColumn("x", x).withColumn("y", padding + (F.max("h").over(whole) - F.col("h")) / 2)
+        across = prefix.before(sized, [document], "page", {"x": F.col("w") + gap})
+        most = sized.groupBy(document).agg(F.max("h").alias("__most"))
+        placed = prefix.joined(across, most, [document]).withColumn("x", padding + F.col("x")).withColumn("y", padding + (F.col("__most") - F.col("h")) / 2).drop("__most")
         return placed.withColumn("row_start", F.col("x")).withColumn("row_end", F.col("x") + F.col("w"))
-    inner = Window.partitionBy(document, "row")
+    inner = Window.partitionBy(document, "row")  # two pages at most
     rows = sized.withColumn("row_width", F.greatest(F.sum(F.col("w") + gap).over(inner) - gap, F.lit(0.0))).withColumn("tallest", F.max("h").over(inner))
+    left = F.coalesce(F.sum(F.col("w") + gap).over(inner.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     # only a row's first page adds the row's height to the running sum
     first = F.col("page") == F.min("page").over(inner)
-    rows = rows.withColumn("step", F.when(first, F.col("tallest") + gap).otherwise(0.0))
-    rows = rows.withColumn("content", F.greatest(F.max("row_width").over(whole), F.lit(float(viewport))))
-    upto = F.sum("step").over(whole.orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("y", padding + upto - F.col("tallest") - gap)
-    rows = rows.withColumn("x", (F.col("content") - F.col("row_width")) / 2 + _before(F.col("w") + gap, inner.orderBy("page")))
-    return rows.withColumn("row_start", F.col("y")).withColumn("row_end", F.col("y") + F.col("tallest"))
+    rows = rows.withColumn("x", left).withColumn("step", F.when(first, F.col("tallest") + gap).otherwise(0.0))
+    widest = sized.groupBy(document, "row").agg(F.greatest(F.sum(F.col("w") + gap) - gap, F.lit(0.0)).alias("width")).groupBy(document).agg(F.greatest(F.max("width"), F.lit(float(viewport))).alias("content"))
+    placed = prefix.joined(prefix.before(rows, [document], "row", {"y": F.col("step")}), widest, [document])
+    placed = placed.withColumn("y", padding + F.col("y")).withColumn("x", (F.col("content") - F.col("row_width")) / 2 + F.col("x"))
+    return placed.withColumn("row_start", F.col("y")).withColumn("row_end", F.col("y") + F.col("tallest"))
 
 
 def extent(placed: DataFrame, document: str, mode: str, viewport: float, padding: float = PADDING) -> DataFrame:

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.operators import selection
+
 
 def statistics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, min, nearest-rank p50, p95 and p99, max and mean for each key; NaN and null values do not count."""
+    """n, min, nearest-rank p50, p95 and p99, max and mean for each key; NaN and null values do not count.
+
+    No task holds a group's values, however large it is (``selection``).
+    """
     known = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    rank = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
-    return known.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(value).alias("min_ms"), rank(0.5).alias("p50_ms"), rank(0.95).alias("p95_ms"), rank(0.99).alias("p99_ms"), F.max(value).alias("max_ms"), F.round(F.avg(value), 6).alias("mean_ms")
-    )
+    got = selection.ranked(known, keys, value, {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+    kind = rows.schema[value].dataType
+    same = lambda old, new: F.col(old).cast(kind).alias(new)
+    return got.select(*keys, "n", same("least", "min_ms"), *(same(p, p) for p in ("p50_ms", "p95_ms", "p99_ms")), same("greatest", "max_ms"), F.round("mean", 6).alias("mean_ms"))
 
 
 def verdict(measured: Column, target: Column, strict: bool = False) -> Column:

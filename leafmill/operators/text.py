@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from leafmill.operators import fulltext, prefix
+from leafmill.operators.sequential import carried
+
 
 @F.pandas_udf(StringType())
 def without_accents(text: pd.Series) -> pd.Series:
@@ -49,9 +52,8 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """token, documents that hold it and how often it stands in all; combined before the shuffle."""
-    counted = folded(docs.select(key, text), text).select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy("token", key).agg(F.count("*").alias("n"))
-    return counted.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+    """token, documents that hold it and how often it stands in all; each row is a document, read once and summed up in its batch."""
+    return fulltext.merged(fulltext.changes(docs, text))
 
 
 def matching(docs: DataFrame, text: str, term: str) -> DataFrame:
@@ -77,13 +79,7 @@ def synced(docs: DataFrame, deleted: DataFrame, updated: DataFrame, key: str) ->
 
 
 def lines(chars: Column) -> Column:
-    """Lines of text with their hulls out of characters in reading order.
-
-    A line ends at a line break, where a character overlaps half of the smaller
-    height or less, or where it begins left of the line.  The state is the
-    line's running hull, so this is a fold.  Characters without code or box and
-    blank lines go.
-    """
+    """``placed_lines`` of the characters in one short array, as a fold; it takes the square of the array's length."""
     shape = "array<struct<text:string,left:double,bottom:double,right:double,top:double,open:boolean>>"
 
     def step(acc: Column, ch: Column) -> Column:
@@ -102,9 +98,63 @@ def lines(chars: Column) -> Column:
         closed = F.struct(*(last[k].alias(k) for k in ("text", "left", "bottom", "right", "top")), F.lit(False).alias("open"))
         head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
         ends = ch["c"].isin("\n", "\r")
-        joins = (F.size(acc) > 0) & last["open"] & (shared > small * 0.5) & (ch["left"] >= last["left"])
+        joins = (F.size(acc) > 0) & last["open"] & (small > 0) & (shared > small * 0.5) & (ch["right"] >= last["left"])
         return F.when(ends, F.when(F.size(acc) > 0, F.concat(head, F.array(closed))).otherwise(acc)).when(joins, F.concat(head, F.array(grown))).otherwise(F.concat(acc, F.array(own)))
 
     known = F.filter(chars, lambda ch: ch.isNotNull() & ch["c"].isNotNull() & ch["left"].isNotNull())
     folded = F.aggregate(known, F.array().cast(shape), lambda acc, ch: step(acc, ch).cast(shape))
     return F.transform(F.filter(folded, lambda x: F.trim(x["text"]) != ""), lambda x: F.struct(*(x[k].alias(k) for k in ("text", "left", "bottom", "right", "top"))))
+
+
+#: What a trim takes away: white space of all kinds, and the byte order mark.
+BLANK = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def line_of_chars():
+    """The rule of one stretch of characters: each closed line with the place of its first character and its hull."""
+    held: list = []  # at, characters, left, bottom, right, top of the open line
+
+    def closed():
+        if held and "".join(held[1]).strip(BLANK):
+            yield held[0], "".join(held[1]), *held[2:]
+        held.clear()
+
+    def step(place, c, left, bottom, right, top):
+        if c in ("\n", "\r"):
+            return closed()
+        if held:
+            small = min(held[5] - held[3], top - bottom)
+            shared = min(held[5], top) - max(held[3], bottom)
+            if small > 0 and shared > small * 0.5 and not right < held[2]:
+                held[1].append(c)
+                held[2:] = min(held[2], left), min(held[3], bottom), max(held[4], right), max(held[5], top)
+                return ()
+        out = list(closed())
+        held.extend((place, [c], left, bottom, right, top))
+        return out
+
+    return step, closed
+
+
+def placed_lines(chars: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """keys, line from 0, text and hull of the lines that placed characters make.
+
+    ``chars`` has the keys, the character's whole-numbered ``place`` in reading order,
+    c, left, bottom, right and top.  A line ends at a line break, where a
+    character shares half of the smaller height or less with the line's hull, and
+    where it lies wholly left of the line.  Characters without code or box and blank
+    lines go.
+
+    A line break ends whatever came before, so stretches between breaks do not
+    depend on one another: breaks are counted by two-level running sums, stretches
+    go to tasks of their own and are folded in linear time with the open line
+    as state, and lines are numbered by running sums again.  A page without breaks is
+    one stretch, which is streamed through its task.
+    """
+    box = ["left", "bottom", "right", "top"]
+    known = chars.where(F.col("c").isNotNull() & F.col("left").isNotNull()).select(*keys, F.col(place).cast("long").alias("place"), "c", *(F.col(b).cast("double").alias(b) for b in box))
+    cut = prefix.before(known, keys, "place", {"stretch": F.col("c").isin("\n", "\r").cast("long")})
+    types = {"at": "long", "text": "string", **dict.fromkeys(box, "double")}
+    made = carried(cut.select(*keys, "stretch", "place", "c", *box), [*keys, "stretch"], ["place"], line_of_chars, types)
+    numbered = prefix.before(made, keys, "at", {"line": F.lit(1)})
+    return numbered.select(*keys, F.col("line").cast("int").alias("line"), "text", *box)

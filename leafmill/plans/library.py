@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill import functions as fn
-from leafmill.operators import motion, outline, relations, schedule, stats
+from leafmill.operators import motion, outline, relations, schedule, selection, stats
 from leafmill.plans import query, table
 from leafmill.plans.geometry import _PAGES, pages
 from leafmill.plans.scheduling import _GATE, _lru, accesses, gate
@@ -122,7 +122,7 @@ def ordered_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of values of which some are no numbers; those have no place in the order."""
     value = F.when(F.col("event_id") % 17 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
     known = table(spark, sf_dir, "events").select("event_type", value.alias("v")).where(~F.isnan("v"))
-    return known.groupBy("event_type").agg(F.count("*").alias("n"), *(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY v)").alias(a) for p, a in ((0.5, "p50"), (0.95, "p95"))))
+    return selection.ranked(known, ["event_type"], "v", {"p50": 0.5, "p95": 0.95}).select("event_type", "n", "p50", "p95")
 
 
 @query("""WITH t AS (SELECT [r_regionkey] AS path, 0 AS depth, r_name AS title FROM region UNION ALL SELECT [n_regionkey, n_nationkey], 1, n_name FROM nation

@@ -96,3 +96,21 @@ def heartbeats(beats: DataFrame, hung_ms: int) -> DataFrame:
 def polled(rows: DataFrame, every: str = "2 seconds"):
     """A writer that looks at ``rows`` at each poll and takes what is new."""
     return rows.writeStream.trigger(processingTime=every)
+
+
+def indexed(changes: DataFrame, root: str, key: str):
+    """A writer that keeps a full-text index up to date with a stream of changes (key, before, after).
+
+    A document that comes in has no text before, one that goes has none after.  Of
+    several changes of a document in a batch the given one before the first and after
+    the last would be needed, so a batch must hold each document once.  A batch that
+    is repeated after a failure finds its segment written and adds nothing.
+    """
+    from leafmill.operators.fulltext import FullTextIndex
+
+    def take(batch: DataFrame, number: int) -> None:
+        old = batch.where("before IS NOT NULL").select(key, F.col("before").alias("text"))
+        new = batch.where("after IS NOT NULL").select(key, F.col("after").alias("text"))
+        FullTextIndex(batch.sparkSession, root).apply(number + 1, old, new, key, "text")
+
+    return changes.writeStream.foreachBatch(take)
