@@ -5,11 +5,17 @@ longest form.  The probes of all rules are compiled together: an NFA over
 bytes, subset construction, minimisation, one transition array.  One pass over
 the bytes of a batch then finds the ends of all probes of all rules.  The pass
 runs in lock step over thousands of lanes; a lane starts right after a byte
-that takes every state to the start state, so cutting changes nothing.  At each
+that takes every state to the start state, so cutting changes nothing.  Stretches
+without such a byte are cut anywhere: their lanes are first read from every state
+that turns up at a lane's end, which tells the state each begins in.  At each
 hit the reversed probe gives the start of the match, the whole's own automaton
 its longest end.  Matches of a kind are leftmost and non-overlapping; those that
 are too short are dropped after they have used up their text.
 
+Beside the base kinds there are tokens of code hosts, chats, payment and cloud
+services, JSON web tokens, credentials in addresses, and private keys, from their
+first line to their last one, or to the end of their base64 if that is missing.
+
 Defined edge cases: a null text counts as empty; a text without secrets has
 zero counts and an empty span list; whole texts are read however long they are;
 repeated rows give repeated results; an empty table gives an empty result; only
@@ -20,6 +26,7 @@ are), so extra columns never clash.
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import cache
 from typing import NamedTuple
 
@@ -50,6 +57,14 @@ class Rule(NamedTuple):
 _KEY = "({}|{}|{}|{}|{}_?{})".format(*map(either, ("password", "passwd", "secret", "token", "api", "key")))
 _HEAD = _KEY + "[\"']?\\x20*[:=]\\x20*[\"']?"
 
+_BEGIN = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: What stands between the lines of a private key: base64, header fields, line ends also as written in strings.
+_BODY = "[A-Za-z0-9+/=:,\\\\\x20\x09\x0D\x0A]"
+_FIELDS = "([\\x0D]?[\\x0A][A-Za-z-]+:[A-Za-z0-9,:\\x20-]*)*([\\x0D]?[\\x0A])?"
+_AWS = "(aws_secret_access_key|AWS_SECRET_ACCESS_KEY|[sS]ecretAccessKey)[\"']?\x20*[:=]\x20*[\"']?"
+#: A user and a password before the host of an address.
+_USER = "://[A-Za-z0-9._~%-]+:[A-Za-z0-9._~%!$&'()*+,;=-]+@"
+
 #: The base kinds in the order of the contract, then those that this operator adds.
 RULES = (
     Rule("assign", _HEAD + "[A-Za-z0-9+/_.=-]", _HEAD + "[A-Za-z0-9+/_.=-]+", 12, _HEAD),
@@ -58,7 +73,12 @@ RULES = (
     Rule("github", "gh[pousr]_[A-Za-z0-9]", "gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]", "xox[abprs]-[A-Za-z0-9-]+", 20),
     Rule("jwt", "eyJ[A-Za-z0-9_-]+[.]eyJ", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 32),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 27),
+    Rule("pem", _BEGIN, _BEGIN + "(({0}|-{0})*-----END [A-Z ]*PRIVATE KEY-----|({1}([\x0D]?[\x0A][A-Za-z0-9+/]{{32}}[A-Za-z0-9+/=]*)+)?)".format(_BODY, _FIELDS), 27),
+    Rule("stripe", "[sr]k_(live|test)_[A-Za-z0-9]", "[sr]k_(live|test)_[A-Za-z0-9]+", 24),
+    Rule("google", "AIza[A-Za-z0-9_-]", "AIza[A-Za-z0-9_-]+", 39),
+    Rule("gitlab", "glpat-[A-Za-z0-9_-]", "glpat-[A-Za-z0-9_-]+", 26),
+    Rule("aws", _AWS + "[A-Za-z0-9+/]", _AWS + "[A-Za-z0-9+/]+", 40, _AWS),
+    Rule("url", "://[A-Za-z0-9._~%-]+:[A-Za-z0-9._~%!$&'()*+,;=-]", _USER, 8),
 )
 BASE = 3
 
@@ -267,57 +287,101 @@ class Scanner:
             raise ValueError("a rule reads across line ends")
 
     def hits(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where probes end in a byte buffer, and the bits of the rules that end there."""
+        """Where probes end in a byte buffer, and the bits of the rules that end there.
+
+        The buffer is cut into lanes that are read in lock step.  Lanes begin after
+        bytes that reset every state, where there are any; a longer stretch without
+        one is cut anywhere, and what state its lanes begin in is found out first.
+        """
         n = len(raw)
         width = max(256, -(-n // LANES))
         resets = np.flatnonzero(self.resets[raw])
         wanted = np.searchsorted(resets, np.arange(width, n, width))
-        starts = np.unique(np.concatenate([[0], resets[wanted[wanted < len(resets)]] + 1]))
+        fresh = np.unique(np.concatenate([[0], resets[wanted[wanted < len(resets)]] + 1]))
+        long = np.diff(np.append(fresh, n)) > 2 * width
+        cuts = [np.arange(a + width, b - width, width) for a, b in zip(fresh[long].tolist(), np.append(fresh[1:], n)[long].tolist(), strict=True)]
+        starts = np.sort(np.concatenate([fresh, *cuts])).astype(np.int64)
         ends = np.append(starts[1:], n)
-        order = np.argsort(starts - ends, kind="stable")
-        starts, ends = starts[order], ends[order]
-        length = ends - starts
-        step, accept = self.all.step.ravel(), self.all.accept
-        hit = accept != 0
         state = np.zeros(len(starts), np.int32)
-        where, which, live = [], [], len(starts)
-        for t in range(int(length[0]) if len(length) else 0):
-            while length[live - 1] <= t:
-                live -= 1
-            state = step[(state[:live] << 8) + raw[starts[:live] + t]]
-            got = hit[state]
-            if got.any():
-                lanes = np.flatnonzero(got)
-                where.append(starts[lanes] + t)
-                which.append(accept[state[lanes]])
+        if cuts:
+            self._begin(raw, starts, ends, state, np.isin(starts, fresh))
+        where, which = [], []
+        self._read(raw, starts, ends, state, (where, which))
         if not where:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
         where, which = np.concatenate(where), np.concatenate(which)
         order = np.argsort(where, kind="stable")
         return where[order], which[order]
 
+    def _begin(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, state: np.ndarray, fresh: np.ndarray) -> None:
+        """Sets the states that lanes in the middle of a stretch begin in: lanes are read once from each state that turns up at a lane's end."""
+        inner = np.flatnonzero(~fresh | np.append(~fresh[1:], False))  # lanes of cut stretches
+        leads: dict[int, np.ndarray] = {}
+        todo = {0}
+        while todo:
+            q = todo.pop()
+            leads[q] = self._read(raw, starts[inner], ends[inner], np.full(len(inner), q, np.int32))
+            todo |= set(np.unique(leads[q]).tolist()) - set(leads)
+        now = 0
+        for i, lane in enumerate(inner.tolist()):
+            now = 0 if fresh[lane] else now
+            state[lane] = now
+            now = int(leads[now][i])
+
+    def _read(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, found: tuple[list, list] | None = None) -> np.ndarray:
+        """The states in which lanes end that begin in the given ones; ``found`` gets where probes end, and which."""
+        order = np.argsort(starts - ends, kind="stable")
+        length, starts, state = (ends - starts)[order], starts[order], first[order]
+        out = np.zeros(len(order), np.int32)
+        step, accept = self.all.step.ravel(), self.all.accept
+        hit, live = accept != 0, len(starts)
+        for t in range(int(length[0]) if len(length) else 0):
+            while length[live - 1] <= t:
+                live -= 1
+                out[live] = state[live]
+            state = step[(state[:live] << 8) + raw[starts[:live] + t]]
+            if found is not None:
+                got = hit[state]
+                if got.any():
+                    lanes = np.flatnonzero(got)
+                    found[0].append(starts[lanes] + t)
+                    found[1].append(accept[state[lanes]])
+        out[:live] = state[:live]
+        back = np.empty(len(order), np.int32)
+        back[order] = out
+        return back
+
     @staticmethod
     def longest(dfa: Dfa, text: bytes, at: int, to: int, way: int = 1) -> int:
-        """Bytes of the longest match from ``at`` towards ``to``, or -1."""
+        """Bytes of the longest match from ``at`` towards ``to``, or -1; runs of bytes that leave a state as it is are skipped at once."""
         state, best, n = 0, -1, 0
+        step, accept, skips = _rows(dfa)
         while at != to:
-            state = int(dfa.step[state, text[at]])
-            if state == dfa.dead:
+            new = step[state][text[at]]
+            if new == dfa.dead:
                 break
             at += way
             n += 1
-            if dfa.accept[state]:
+            if new == state and way == 1:
+                more = skips[state].match(text, at, to).end() - at
+                at += more
+                n += more
+            state = new
+            if accept[state]:
                 best = n
         return best
 
     def spans(self, text: bytes, hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes of one text, from its probes' ends."""
         out = []
+        places = np.array([h[0] for h in hits], np.int64)
+        flags = np.array([h[1] for h in hits], np.int64)
         for k, rule in enumerate(self.rules):
-            done = 0
-            for at, bits in hits:
-                if not bits >> k & 1 or at < done:
-                    continue
+            mine = places[flags >> k & 1 == 1]
+            done = i = 0
+            while i < len(mine):
+                at = int(mine[i])
+                i += 1
                 # the probe read backwards gives the start, no further than the last match
                 start = at + 1 - self.longest(self.back[k], text, at, done - 1, -1)
                 if start > at:
@@ -326,12 +390,24 @@ class Scanner:
                 if size < 0:
                     continue
                 done = start + size
+                i = max(i, int(np.searchsorted(mine, done)))
                 value = size - (self.longest(self.head[k], text, start, done) if self.head[k] else 0)
                 if value >= rule.least:
                     out.append((start, k, done))
         return sorted(out)
 
 
+_ROWS: dict[int, tuple] = {}
+
+
+def _rows(dfa: Dfa) -> tuple[list[list[int]], list[int], list[re.Pattern]]:
+    """An automaton's rows as lists, and for each state a pattern of the bytes that leave it as it is."""
+    if id(dfa.step) not in _ROWS:
+        kept = ["".join(f"\\x{b:02x}" for b in np.flatnonzero(row == q)) for q, row in enumerate(dfa.step)]
+        _ROWS[id(dfa.step)] = dfa.step.tolist(), dfa.accept.tolist(), [re.compile(f"[{c}]*".encode() if c else b"") for c in kept], dfa.step
+    return _ROWS[id(dfa.step)][:3]
+
+
 @cache
 def scanner() -> Scanner:
     return Scanner()
