@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_LEVELS, MOST_NODES = 32, 20_000
@@ -32,3 +32,32 @@ def preorder(flat: DataFrame, most: int = MOST_NODES) -> DataFrame:
 def enabled(entries: DataFrame, page: str) -> DataFrame:
     """Entries that lead somewhere."""
     return entries.where(F.col(page).isNotNull())
+
+
+_WALK = """
+WITH RECURSIVE walk MAX RECURSION LEVEL {limit} AS (
+  SELECT doc, id, 0 AS depth, array(struct(seq, id)) AS path FROM {links} WHERE parent IS NULL
+  UNION ALL
+  SELECT l.doc, l.id, w.depth + 1, array_append(w.path, struct(l.seq, l.id))
+  FROM walk w JOIN {links} l ON l.doc = w.doc AND l.parent = w.id
+  WHERE w.depth + 1 < {levels} AND NOT exists(w.path, x -> x.id = l.id)
+)
+SELECT doc, id, depth, path FROM walk"""
+
+
+def walked(links: DataFrame, levels: int = MOST_LEVELS, most: int = MOST_NODES) -> DataFrame:
+    """doc, nth (from 0, in preorder), depth and id of the nodes that each document's roots reach.
+
+    ``links`` has doc, id, parent (null for roots) and seq, the order among
+    siblings; an id may stand under several parents, as in damaged files.  A node on
+    its own path is not entered again, so cycles end; ``levels`` bounds the depth, and of
+    each document the first ``most`` nodes in preorder are kept, which is part of an
+    outline's definition and is applied in every task before nodes meet.  Rows
+    without a document belong to none.  The session's limit on the rows of a
+    recursion is lifted, since outlines of a whole corpus have no bound in common.
+    """
+    spark = links.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    reached = spark.sql(_WALK, links=links.select("doc", "id", "parent", "seq"), levels=levels, limit=levels + 1)
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("path"))
+    return reached.withColumn("nth", nth - 1).where(F.col("nth") < most).select("doc", "nth", "depth", "id")

@@ -20,16 +20,22 @@ from leafmill.sources.shared import kept
 
 CUTS, FEW = 4096, 10_000
 ROUNDS = 200
+#: The greatest finite number.
+MOST = 1.7976931348623157e308
+
+
+def _finite(x: Column) -> Column:
+    return F.greatest(F.lit(-MOST), F.least(F.lit(MOST), x))
 
 
 def _scaled(x: Column) -> Column:
-    """A scale on which equal factors are about equally far apart, in the same order."""
-    return F.signum(x) * F.log1p(F.abs(x))
+    """A scale on which equal factors are equally far apart, in the same order; no logarithm is below -745."""
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.ln(F.abs(x)) + 746))
 
 
 def _part(value: Column, low: Column, high: Column, logarithmic: bool) -> Column:
     """The part of the range that a value lies in; larger values never lie in earlier parts."""
-    v, a, b = (_scaled(x) if logarithmic else x for x in (value, low, high))
+    v, a, b = (_scaled(_finite(x)) if logarithmic else _finite(x) for x in (value, low, high))
     # halves, so that the difference of the largest numbers stays finite
     share = (v / 2 - a / 2) / (b / 2 - a / 2)
     return F.when(value >= high, F.lit(CUTS)).otherwise(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * CUTS), F.lit(CUTS))).cast("int")

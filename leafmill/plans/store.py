@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill import functions as fn
-from leafmill.operators import relations, uri
+from leafmill.operators import outline, relations, uri
 from leafmill.plans import query, table
+from leafmill.sources import migrations, shared
 
 _MODES = ("single", "horizontal", "dual", "dual_cover")
 _FILES = "SELECT user_id AS id, max(ts) FILTER (event_type <> 'error') AS last_opened, bool_or(event_type = 'purchase' AND value > 200) AS pinned FROM events GROUP BY 1"
@@ -127,8 +128,6 @@ UNION ALL SELECT n_nationkey, 1, n_name, n_regionkey || '/' || n_nationkey FROM
 UNION ALL SELECT c_custkey, 2, c_name, n_regionkey || '/' || n_nationkey || '/' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def outline_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A three-level tree from parent links to rows with depth and path."""
-    from leafmill.operators import outline
-
     return outline.flatten(outline_links(spark, sf_dir), levels=3).select("seq", "depth", "title", F.array_join(F.transform("path", lambda k: k.cast("string")), "/").alias("path"))
 
 
@@ -197,3 +196,45 @@ def array_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered distinct and subset tests on arrays."""
     o = F.array_distinct(F.array(F.col("o_orderkey") % 7, F.col("o_custkey") % 7, F.lit(3).cast("long")))
     return table(spark, sf_dir, "orders").select("o_orderkey", (F.size(F.array_except(F.array(F.lit(1).cast("long")), o)) > 0).alias("none"), F.size(o).alias("n"))
+
+
+#: An order is a node under the order before, and its lines are nodes under it; forty orders make a branch, which is deeper than an
+#: outline may be. Some orders also stand under a line of their own, which is a cycle.
+_LINKS = """SELECT o_orderkey // 40 % 2 AS doc, o_orderkey * 8 AS id, CASE WHEN o_orderkey % 40 > 0 THEN o_orderkey * 8 - 8 END AS parent, 0 AS seq FROM orders
+UNION ALL SELECT DISTINCT l_orderkey // 40 % 2, l_orderkey * 8 + l_linenumber, l_orderkey * 8, l_linenumber::BIGINT FROM lineitem
+UNION ALL SELECT o_orderkey // 40 % 2, o_orderkey * 8, o_orderkey * 8 + 1, 9 FROM orders WHERE o_orderkey % 10 = 7"""
+
+
+def tangled_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("o"))
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("o"), F.col("l_linenumber").cast("long").alias("n")).distinct()
+    node = lambda rows, at, parent, seq: rows.select((F.floor(F.col("o") / 40) % 2).alias("doc"), (F.col("o") * 8 + at).alias("id"), parent.alias("parent"), seq.cast("long").alias("seq"))
+    orders = node(order, F.lit(0), F.when(F.col("o") % 40 > 0, F.col("o") * 8 - 8), F.lit(0))
+    return orders.unionByName(node(line, F.col("n"), F.col("o") * 8, F.col("n"))).unionByName(node(order.where("o % 10 = 7"), F.lit(0), F.col("o") * 8 + 1, F.lit(9)))
+
+
+@query(f"""WITH RECURSIVE links AS MATERIALIZED ({_LINKS}), walk AS (SELECT doc, id, 0 AS depth, [id] AS seen, [seq, id] AS path FROM links WHERE parent IS NULL
+UNION ALL SELECT l.doc, l.id, w.depth + 1, list_append(w.seen, l.id), w.path || [l.seq, l.id] FROM walk w JOIN links l ON l.doc = w.doc AND l.parent = w.id WHERE w.depth < 31 AND NOT list_contains(w.seen, l.id))
+SELECT doc, nth, depth, id FROM (SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY path) - 1)::INT AS nth, depth, id FROM walk) WHERE nth < 20000""")
+def outline_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines with cycles, too many levels and too many nodes, in preorder; the caps are part of an outline."""
+    return outline.walked(tangled_links(spark, sf_dir))
+
+
+@query("""WITH files AS (SELECT user_id AS id, 'lib/' || user_id % 40 AS path, max(event_id) AS last_opened, bool_or(event_type = 'purchase' AND value > 300) AS pinned FROM events GROUP BY user_id),
+f AS (SELECT sha256(path) AS path_hash, max(pinned) OVER (PARTITION BY path) AS pinned, id, path, last_opened FROM files QUALIFY row_number() OVER (PARTITION BY path ORDER BY last_opened DESC, id DESC) = 1),
+s AS (SELECT user_id, (event_id % 300)::INT AS page, CASE WHEN event_id % 3 > 0 THEN event_id % 5 / 2.0 ELSE 1.0 END::DOUBLE AS zoom, CASE WHEN event_id % 6 > 3 THEN 0 ELSE event_id % 6 END::INT AS rotation FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+SELECT id, path, path_hash, last_opened, pinned, page, zoom, rotation FROM f JOIN s ON user_id = id""")
+def migrated_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of version 0 made from the events, brought to the newest version step by step and read back."""
+    e = table(spark, sf_dir, "events")
+    path = F.concat(F.lit("lib\\"), (F.col("user_id") % 40).cast("string"))
+    files = e.groupBy(F.col("user_id").alias("id"), path.alias("path")).agg(F.max("event_id").alias("last_opened"), F.max((F.col("event_type") == "purchase") & (F.col("value") > 300)).alias("pinned"))
+    zoom = F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 5 / 2.0)
+    openings = e.select(F.col("user_id").alias("file_id"), F.col("event_id").alias("seq"), F.col("event_id").alias("at"), (F.col("event_id") % 300).cast("int").alias("page"), zoom.alias("zoom"), (F.col("event_id") % 6).cast("int").alias("rotation"))
+    store = migrations.Store(spark, shared.new_folder(spark, "store"))
+    store.commit(0, {"files": files.withColumn("note", F.lit("")), "openings": openings})
+    store.migrate(migrations.CHAIN)
+    now = store.tables()
+    both = now["files"].join(now["reading_state"], F.col("id") == F.col("file_id"))
+    return both.select("id", fn.normal_path(F.col("path")).alias("path"), "path_hash", "last_opened", "pinned", "page", "zoom", "rotation")
