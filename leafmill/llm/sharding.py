@@ -2,16 +2,16 @@
 
 Arrivals are appended as small immutable shards.  A shard's tier is the power
 of ``FAN`` that its bytes reach above the smallest size.  When a tier holds
-``FAN`` shards or more, runs of similar size are merged into files of about the
-target size; the old shards stay on disk until no version that is kept names them.
+``FAN`` shards or more, these runs of similar size are merged into files of about
+the target size, all full tiers of a version in one job; the old shards stay on disk until no version that is kept names them.
 A version of the store is a manifest: which shards are live and what they hold.  Its
 file is created only if it is not there, and ends with a mark; a manifest without the
 mark does not count, so a reader sees one version or the next one.  A writer that
 finds its version taken fails and can try again on the newer one; what a writer that
 died left without a mark is removed after ``STALE`` seconds.
 
-Rows are dealt in turn to as many tasks as there are shards, each of which writes
-one file, so no key, source, copy group or input split decides a shard's size.  A
+Rows are dealt in turn to shards, each of which one task writes
+as one file, so no key, source, copy group or input split decides a shard's size.  A
 shard that still exceeds the target by half is split when the store is compacted.
 Everything is DataFrame code; files are touched through the file system that the
 store's path names.
@@ -30,7 +30,7 @@ import math
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import free_name
@@ -39,6 +39,8 @@ from leafmill.llm.common import free_name
 TARGET = 128 << 20
 SMALLEST = 1 << 20
 FAN = 4
+#: Shards of arrivals have the target's bytes over this; a job has so many tasks at most, and shards are spread by keys up to so many.
+SHARE, MOST_TASKS, MOST_KEYS = 16, 20_000, 512
 #: Seconds after which an unfinished manifest is given up, and shards that no version ever named (a week).
 STALE, ABANDONED = 600, 7 * 86400
 END = "end"
@@ -110,12 +112,18 @@ class Store:
     def _write(self, rows: DataFrame, made: int, shards: int) -> list[dict]:
         """``rows`` as so many immutable shards, each a folder with one file, and their manifest entries."""
         name = free_name("shard", rows.columns)
+        # in turn, not by a key: a hot value cannot fill one shard; a task writes one shard, or as many as it takes to keep tasks few
+        tasks = min(shards, MOST_TASKS)
+        each = -(-shards // tasks)
+        dealt = rows.repartition(tasks)
+        turn = F.monotonically_increasing_id() % each if each > 1 else F.lit(0)
+        return self._put(dealt.withColumn(name, (F.spark_partition_id() * each + turn).cast("int")), name, made)
+
+    def _put(self, dealt: DataFrame, name: str, made: int) -> list[dict]:
+        """Rows that know their shard, whose rows are in one task, as shards."""
         batch = uuid.uuid4().hex
-        size = F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in rows.columns else F.lit(0)
-        # in turn, not by a key: a hot value cannot fill one shard; one task writes one shard
-        dealt = rows.repartition(shards)
-        dealt = dealt.withColumn(name, F.spark_partition_id().cast("int"))
         folder = f"{self.path}/shards/{batch}"
+        size = F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in dealt.columns else F.lit(0)
         dealt.write.option("maxRecordsPerFile", 0).partitionBy(name).parquet(folder)
         written = self.spark.read.schema(dealt.schema).parquet(folder)  # an empty arrival has no file to tell it
         counts = written.groupBy(name).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()  # one row for each shard
@@ -137,27 +145,57 @@ class Store:
             return rows
         return rows.withColumn(label, F.regexp_extract(F.input_file_name(), r"shards/([0-9a-f]+/[^/]+)/", 1))
 
-    def compact(self) -> int | None:
-        """Splits shards over the target, or merges the lowest tier that is full; the new version, or None if neither is there."""
-        after = self.version()
-        live = self.manifest(after)
-        large = [s for s in live if s["bytes"] > self.target * 3 // 2 and s["rows"] > 1]
+    def runs(self, live: list[dict]) -> list[tuple[list[dict], int]]:
+        """What a compaction does: shards, and into how many of about the target they go.
+
+        A shard over the target by half is split (in turn at least halves its rows, so
+        this ends).  Of a tier with ``fan`` shards or more below three quarters of the
+        target, all are merged, but for the newest where shards of about the target
+        would not come out.
+        """
+        out = [([s], math.ceil(s["bytes"] / self.target)) for s in live if s["bytes"] > self.target * 3 // 2 and s["rows"] > 1]
         tiers: dict[int, list[dict]] = {}
         for s in live:
             if s["bytes"] < self.target * 3 // 4:
                 tiers.setdefault(s["tier"], []).append(s)
-        full = [t for t in sorted(tiers) if len(tiers[t]) >= self.fan]
-        if large:
-            run = large[:1]  # in turn at least halves the rows, so this ends
-        elif full:
-            run = sorted(tiers[full[0]], key=lambda s: (s["made"], s["name"]))
-        else:
+        for t in sorted(tiers):
+            if len(tiers[t]) >= self.fan:
+                run = sorted(tiers[t], key=lambda s: (s["made"], s["name"]))
+                while self.target * 5 // 4 < (total := sum(s["bytes"] for s in run)) < self.target * 3 // 2:
+                    run.pop()  # too much for one shard and too little for two: the newest wait
+                out.append((run, max(1, round(total / self.target))))
+        return out
+
+    def compact(self) -> int | None:
+        """Splits all shards over the target and merges all full tiers in one job; the new version, or None if there are neither."""
+        after = self.version()
+        live = self.manifest(after)
+        runs = self.runs(live)
+        if not runs:
             return None
-        total = sum(s["bytes"] for s in run)
-        merged = self._write(self.read(run), after + 1, max(1, math.ceil(total / self.target) if large else round(total / self.target)))
-        gone = {s["name"] for s in run}
+        label = free_name("name", columns := self.read(runs[0][0][:1]).columns)
+        table, at = [], 0
+        for run, many in runs:
+            table += [(s["name"], at, many) for s in run]
+            at += many
+        first, many = free_name("first", columns), free_name("many", columns)
+        plan = self.spark.createDataFrame(table, f"{label} string, {first} int, {many} int")
+        rows = self.read([s for run, _ in runs for s in run], label).join(plan, label)
+        name = free_name("shard", columns)
+        # rows go in turn to the shards of their run, and each shard to one task
+        dealt = rows.withColumn(name, (F.col(first) + F.monotonically_increasing_id() % F.col(many)).cast("int")).drop(label, first, many)
+        merged = self._put(dealt.repartition(min(at, MOST_TASKS), self._spread(name, min(at, MOST_TASKS))), name, after + 1)
+        gone = {s["name"] for run, _ in runs for s in run}
         return self.commit([s for s in live if s["name"] not in gone] + merged, after)
 
+    def _spread(self, name: str, tasks: int) -> Column:
+        """Keys that hash to as many different tasks as there are, so that no two shards meet in one task while others idle."""
+        if tasks > MOST_KEYS:
+            return F.col(name)
+        keys = self.spark.range(tasks * 20).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(tasks)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+        found = {r["p"]: r["id"] for r in keys}
+        return F.element_at(F.array(*(F.lit(found.get(p, p)).cast("int") for p in range(tasks))), F.col(name) % tasks + 1)
+
     def settle(self) -> int:
         """Compacts until no tier is full and no shard too large; the last version."""
         while self.compact() is not None:
@@ -188,20 +226,24 @@ class Store:
 
 
 def shard(docs: DataFrame, path: str, arrivals: int = 6, **sizes) -> DataFrame:
-    """``docs`` arrive in so many batches by hash, are appended and compacted.
+    """``docs`` arrive as small shards in so many versions, each of which is compacted before the next.
 
-    Returns doc_id, source, n_bytes and the number (from 0) and the bytes of the
-    live shard that each row ended in.
+    Small shards have a sixteenth of the target whatever the corpus, so merging
+    sets in at every size; all of them are dealt out in one write, and an arrival
+    names its share of them.  Texts are read once for their bytes and once to be
+    written.  Returns doc_id, source, n_bytes and the number (from 0) and the bytes of
+    the live shard that each row ended in.
     """
     spark = docs.sparkSession
     store = Store(spark, path, **sizes)
     text = "text" if "text" in docs.columns else None
-    hashed = F.pmod(F.xxhash64("doc_id", *([text] if text else [])), F.lit(arrivals))
     bytes_of = F.coalesce(F.octet_length(text), F.lit(0)) if text else F.lit(0)
-    # the bytes of all arrivals in one pass
-    each = dict(docs.groupBy(hashed.alias("arrival")).agg(F.sum(bytes_of.cast("long"))).collect())
+    total = docs.agg(F.sum(bytes_of.cast("long"))).first()[0] or 0
+    small = store._write(docs, 1, max(1, math.ceil(total * SHARE / store.target)))
     for k in range(arrivals):
-        store.append(docs.where(hashed == k), each.get(k, 0))
+        after = store.version()
+        come = [s | {"made": after + 1} for s in small[k * len(small) // arrivals : (k + 1) * len(small) // arrivals]]
+        store.commit(store.manifest(after) + come, after)
         store.settle()
         store.vacuum()  # what a merge replaced goes before the next arrival
     live = store.manifest()
