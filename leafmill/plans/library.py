@@ -201,3 +201,16 @@ def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("level"), "ts")
     lines = sources.log_lines(rows).select("date", F.from_json("line", "event_id long, level string").alias("row"))
     return lines.select("row.event_id", "row.level", F.col("date").cast("string").alias("date"))
+
+
+@query("""SELECT event_id, event_type AS level, value, ts::DATE::VARCHAR AS day FROM events WHERE ts::DATE > (SELECT max(ts::DATE) FROM events) - 10""")
+def log_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last ten days of a log that took its rows in batches, one of them twice, and rotated (S22, S23); the retention is the feature."""
+    from leafmill.sources import logs, shared
+
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("level"), "value", "ts")
+    sink = logs.LogSink(spark, shared.new_folder(spark, "log"), rows.schema, days=10)
+    for batch in (0, 1, 2, 1):
+        sink.write(rows.where(F.col("event_id") % 3 == batch), batch)
+    sink.rotate()
+    return sink.read().select("event_id", "level", "value", "day")

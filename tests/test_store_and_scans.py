@@ -7,9 +7,10 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leafmill.operators import layout, outline, prefix, selection, stats, text
-from leafmill.sources import migrations, shared
+from leafmill.sources import logs, migrations, shared
 
 FILES = [(1, "lib\\a", 5, True), (2, "lib/a", 9, None), (3, "lib\\b", None, False)]
 
@@ -150,3 +151,26 @@ def test_lines_of_a_long_page(spark):
     began = time.perf_counter()
     assert text.placed_lines(long, ["d"], "p").agg(F.count("*"), F.max("line"), F.min(F.length("text"))).first()[:] == (n // 100, n // 100 - 1, 99)
     assert time.perf_counter() - began < 120
+
+
+def test_log_sink_leaves_each_row_once(spark, tmp_path):
+    """A stream that broke off in mid-batch and was started again, days that go, rows without a time."""
+    schema = "n long, ts timestamp"
+    from datetime import datetime
+
+    sink = logs.LogSink(spark, str(tmp_path / "log"), StructType.fromDDL(schema), days=2)
+    assert sink.read().count() == 0
+    for k in range(3):
+        rows = [(10 * k + i, datetime(2024, 1, 1 + k, 1, 2, 3, 456789 + i)) for i in range(4)] + [(100 + k, None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if k == 2:  # the batch's folder is there, but incomplete
+            (tmp_path / "log" / "batches" / f"batch={2:012d}" / "day=2024-01-03").mkdir(parents=True)
+            (tmp_path / "log" / "batches" / f"batch={2:012d}" / "day=2024-01-03" / "part-0.json").write_text('{"n": 999}\n')
+            assert sink.read().where("n = 999").count() == 0
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        sink.stream(stream).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    sink.write(spark.createDataFrame([(5, None)], schema), 1)  # a batch that comes again
+    got = sorted(r["n"] for r in sink.read().collect())
+    assert got == [10, 11, 12, 13, 20, 21, 22, 23, 100, 101, 102]
+    assert sink.read().where("n = 21").first()["ts"] == datetime(2024, 1, 3, 1, 2, 3, 456790)
+    assert sink.rotate() == 1 and sink.rotate() == 0 and sink.read().count() == 11
