@@ -247,7 +247,7 @@ def test_license_rules(spark):
     mixed = ". ".join(by[k] for k in ("bsd_redistribution", "bsd_source", "mit_short", "bsd_binary"))
     rows = spark.createDataFrame([(1, bsd3), (2, mixed), (3, by["gpl_free"] + ": " + by["gpl_terms"] + ", " + by["gpl_version3"])], "doc_id long, text string")
     got = {r["doc_id"]: r["licenses"] for r in license.scan(rows).collect()}
-    assert got == {1: "BSD-3-Clause", 2: "MIT", 3: "none"}
+    assert got == {1: "BSD-3-Clause", 2: "MIT", 3: "GPL-3.0-or-later"}
 
 
 NOTICES = {
