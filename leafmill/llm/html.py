@@ -5,8 +5,8 @@ every path the text length and the punctuation of its blocks are averaged; both
 ratios are smoothed along the page, fused into one score by their product, and
 the paths that reach the threshold are the content paths.  The content nodes are
 the articles (or the main part) that hold a fair share of the content paths'
-weight; on a page without them, the deepest node that holds the bulk of it.  Of a
-content node, all blocks are main text but those of inner containers that hold no
+weight; on a page without them, the deepest node that holds the bulk of it, with the
+headings before it on its path.  Of a content node, all blocks are main text but those of inner containers that hold no
 content path and little but links.  Parts that are never article text whatever
 their ratios (menus, page headers and footers, sidebars, notices, adverts, forms,
 reader comments) are known by tag, role or class and do not count.
@@ -30,6 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 # fixed values of the HTML standard
@@ -45,6 +46,8 @@ OUTER = frozenset("header banner search form".split())
 #: Elements that hold running text themselves: only words of adverts and comments mark them.
 TEXTUAL = frozenset("p li dd dt blockquote pre h1 h2 h3 h4 h5 h6 td th span b i em strong a article".split())
 ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsored sponsor promo promoted promotion comment comments reply replies disqus related recommended".split())
+#: Words that stand beside a mark in the names of such parts; inside an article a name with any other word is no mark.
+BESIDE = frozenset("a all and area article articles bar block body bottom box btn button buttons card col column container count counter desktop end entry for form fixed group has head heading holder icon icons in inline inner is item items js layout left link links list main media mobile module of on outer overlay page panel placeholder post posts right row section show site slot sticky stories story text the thread title to tools top unit widget widgets wrap wrapper zone".split())
 #: Elements whose content is no markup.
 RAW = frozenset("script style textarea xmp".split())
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
@@ -59,6 +62,8 @@ THRESHOLD = 0.4
 BULK, FAIR = 0.6, 0.15
 #: The share of link text from which a container without content paths is a list of links.
 LINKS = 0.5
+#: Bytes of html whose texts a worker gathers at once.
+CHARS = 4_000_000
 
 
 class Block(NamedTuple):
@@ -84,11 +89,12 @@ def marked(tag: str, attributes: str, inside: bool) -> bool:
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and "true" in value:
             return True
-        # a camel-case or hyphened name counts by its words
-        words = set(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
         known = ADVERTS if tag in TEXTUAL else MARKS - OUTER if inside else MARKS | OUTER
-        if words & known:
-            return tag not in ("html", "body", "main")
+        for one in value.split():
+            # a camel-case or hyphened name counts by its words; inside an article it must be of marks as a whole
+            words = set(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower()))
+            if words & known and (not inside or words <= MARKS | ADVERTS | BESIDE):
+                return tag not in ("html", "body", "main")
     return False
 
 
@@ -285,6 +291,23 @@ def main_text(page: str | None) -> str:
             below[k] = k == node or parent[k] >= 0 and below[parent[k]]
         inside = [b.node >= 0 and below[b.node] for b in found]
         top = {node}
+        # headings before it that stand next to it or to a part around it belong to it; of the page itself only a single h1 does
+        around, k, single = set(), parent[node], tag.count("h1") == 1
+        while k >= 0:
+            around.add(k)
+            k = parent[k]
+        first = inside.index(True) if True in inside else len(found)
+        for i, b in enumerate(found[:first]):
+            k = b.node
+            while k >= 0 and tag[k] not in HEADINGS and parent[k] not in around:
+                k = parent[k]
+            if k < 0 or tag[k] not in HEADINGS:
+                continue
+            up = parent[k]
+            while up >= 0 and tag[up] in ("hgroup", "header"):
+                up = parent[up]
+            if up in around and (tag[up] not in ("body", "html", "table", "tr", "tbody") or single and tag[k] == "h1"):
+                inside[i] = True
     # inner containers of links alone
     out = [False] * n
     for k in range(n):
@@ -299,11 +322,15 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [main_text(h) for h in part.column(2).to_pylist()]
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHARS, side="right")))
+                part = batch.slice(at, to - at)
+                texts = [main_text(h.as_py()) for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
                 )
+                at = to
 
     return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
