@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill import functions as fn
+from leafmill.operators import containers as container_ops
 from leafmill.operators import motion, outline, relations, schedule, selection, stats
 from leafmill.plans import query, table
 from leafmill.plans.geometry import _PAGES, pages
@@ -214,3 +215,30 @@ def log_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
         sink.write(rows.where(F.col("event_id") % 3 == batch), batch)
     sink.rotate()
     return sink.read().select("event_id", "level", "value", "day")
+
+
+_CONTAINERS = """SELECT p_brand AS doc, any_value(CASE WHEN n % 25 < 18 THEN 0 ELSE n % 25 - 17 END)::INT AS code, any_value(n % 2 = 0) AS password,
+ list(CASE WHEN p_partkey % 7 = 3 THEN NULL ELSE 600 + p_size END ORDER BY p_partkey) AS listed, list(CASE WHEN p_partkey % 21 = 10 THEN NULL ELSE 600 + p_size END ORDER BY p_partkey) AS own
+FROM (SELECT *, substr(p_brand, 7)::INT AS n FROM part) GROUP BY p_brand"""
+
+
+def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as stored documents and their parts as pages: some directories have gaps, some bodies no box, some documents do not open."""
+    n = F.substring("p_brand", 7, 9).cast("int")
+    tall = (600 + F.col("p_size")).cast("string")
+    entry = F.when(F.col("p_partkey") % 7 == 3, "damaged").otherwise(F.concat(F.lit("612 x "), tall))
+    body = F.when(F.col("p_partkey") % 21 == 10, "<< /Type /Page >>").otherwise(F.concat(F.lit("<< /Type /Page /MediaBox [ 10 5 622 "), (605 + F.col("p_size")).cast("string"), F.lit(" ] >>")))
+    page = F.sort_array(F.collect_list(F.struct("p_partkey", entry.alias("entry"), body.alias("body"))))
+    made = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("doc")).agg(F.first(n).alias("n"), page.alias("pages"))
+    code = F.when(F.col("n") % 25 < 18, 0).otherwise(F.col("n") % 25 - 17)
+    return made.select("doc", code.alias("code"), (F.col("n") % 2 == 0).alias("password"), F.array_join("pages.entry", ";").alias("directory"), F.col("pages.body").alias("bodies"), F.size("pages").alias("n_bodies"))
+
+
+@query(f"""WITH c AS ({_CONTAINERS}), p AS (SELECT doc, unnest(listed) AS a, unnest(own) AS b, unnest(range(len(own))) AS page FROM c WHERE code = 0)
+SELECT doc, page::INT AS page, CASE WHEN coalesce(a, b) IS NOT NULL THEN 612.0 END::DOUBLE AS width, coalesce(a, b)::DOUBLE AS height, CASE WHEN coalesce(a, b) IS NULL THEN 'Corrupt' END AS error FROM p
+UNION ALL SELECT doc, NULL, NULL, NULL, CASE code WHEN 2 THEN 'FileUnavailable' WHEN 4 THEN CASE WHEN password THEN 'PasswordWrong' ELSE 'PasswordRequired' END ELSE 'Corrupt' END FROM c WHERE code <> 0""")
+def container_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page sizes from stored directories, from bodies where those have gaps, and errors by kind."""
+    from leafmill.sources import shared
+
+    return container_ops.page_sizes(shared.kept(containers(spark, sf_dir), "containers"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from leafmill.operators import layout, outline, prefix, selection, stats, text
+from leafmill.operators import containers, layout, outline, prefix, selection, stats, text
 from leafmill.sources import logs, migrations, shared
 
 FILES = [(1, "lib\\a", 5, True), (2, "lib/a", 9, None), (3, "lib\\b", None, False)]
@@ -174,3 +174,24 @@ def test_log_sink_leaves_each_row_once(spark, tmp_path):
     assert got == [10, 11, 12, 13, 20, 21, 22, 23, 100, 101, 102]
     assert sink.read().where("n = 21").first()["ts"] == datetime(2024, 1, 3, 1, 2, 3, 456790)
     assert sink.rotate() == 1 and sink.rotate() == 0 and sink.read().count() == 11
+
+
+def test_page_sizes_of_containers(spark, tmp_path):
+    """Both scans agree, gaps fall back, errors have kinds, and the fast scan reads no bodies."""
+    page = "<< /MediaBox [0 0 {} {}] >>"
+    rows = [
+        ("a", 0, False, "612 x 792;100.5 x 20", [page.format(612, 792), page.format(100.5, 20)], 2),
+        ("b", 0, False, "612 x 792;broken;0 x 5", [page.format(612, 792), page.format(7, 8), "none"], 3),
+        ("c", 0, False, "1 x 2", [page.format(1, 2), page.format(3, 4)], 2),
+        *((f"e{k}", k, k % 2 == 0, None, None, 0) for k in range(1, 9)),
+        ("p", 4, False, None, None, 0),
+    ]
+    spark.createDataFrame(rows, "doc string, code int, password boolean, directory string, bodies array<string>, n_bodies int").write.parquet(str(tmp_path / "c"))
+    docs = spark.read.parquet(str(tmp_path / "c"))
+    got = {(r["doc"], r["page"]): (r["width"], r["height"], r["error"]) for r in containers.page_sizes(docs).collect()}
+    assert got[("b", 1)] == (7.0, 8.0, None) and got[("b", 2)] == (None, None, "Corrupt") and got[("c", 1)] == (3.0, 4.0, None) and got[("a", 1)] == (100.5, 20.0, None)
+    assert [got[(d, None)][2] for d in ("e1", "e2", "e3", "e4", "p", "e5", "e6", "e7")] == ["Corrupt", "FileUnavailable", "Corrupt", "PasswordWrong", "PasswordRequired", "Corrupt", "Corrupt", "Corrupt"]
+    slow = {(r["doc"], r["page"]): r["size"] for r in containers.slow_sizes(docs).collect()}
+    assert all(slow[(r["doc"], r["page"])] == r["size"] for r in containers.fast_sizes(docs).where("size IS NOT NULL").collect())
+    plan = containers.fast_sizes(docs.where("doc = 'a'"))._jdf.queryExecution().executedPlan().toString()
+    assert "bodies" not in plan and "EqualTo(code,0)" in plan and "EqualTo(doc,a)" in plan
