@@ -9,6 +9,7 @@ from collections import OrderedDict, deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators import prefix
 from leafmill.operators.sequential import carried, nothing_more
 
 CAPACITY = 512
@@ -43,12 +44,23 @@ def coalesced(requests: DataFrame, keys: list[str], time: str, number: str, seco
 
 
 def dispatched(requests: DataFrame, queue: str, capacity: int = CAPACITY) -> DataFrame:
-    """Order of dispatch in each queue, and which requests are shed: the oldest of the lowest priority beyond the capacity."""
-    size = F.count("*").over(Window.partitionBy(queue))
-    worst = F.row_number().over(Window.partitionBy(queue).orderBy("priority", "seq"))
-    shed = requests.withColumn("shed", worst <= size - capacity)
-    nth = F.row_number().over(Window.partitionBy(queue, "shed").orderBy(F.desc("priority"), "seq"))
-    return shed.withColumn("nth", F.when(~F.col("shed"), nth))
+    """Order of dispatch in each queue, and which requests are shed: the oldest of the lowest priority beyond the capacity.
+
+    ``seq`` counts arrivals from 0.  A place is the requests of other priorities that
+    go first, which are counted, and those of the same one that came before, which
+    is a running sum in two levels: no task holds a queue.
+    """
+    classes = requests.groupBy(queue, "priority").agg(F.count("*").alias("__many"))
+    # one row for each priority of a queue
+    every, lower = Window.partitionBy(queue), Window.partitionBy(queue).orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)
+    higher = Window.partitionBy(queue).orderBy(F.desc("priority")).rowsBetween(Window.unboundedPreceding, -1)
+    over = F.sum("__many").over(every) - capacity - F.coalesce(F.sum("__many").over(lower), F.lit(0))
+    classes = classes.withColumn("__shed", F.greatest(F.lit(0), F.least(F.col("__many"), over)))
+    classes = classes.withColumn("__first", F.coalesce(F.sum(F.col("__many") - F.col("__shed")).over(higher), F.lit(0))).drop("__many")
+    placed = prefix.joined(prefix.before(requests, [queue, "priority"], "seq", {"__own": F.lit(1)}), classes, [queue, "priority"])
+    shed = placed.withColumn("shed", F.col("__own") < F.col("__shed"))
+    nth = (F.col("__first") + F.col("__own") - F.col("__shed") + 1).cast("int")
+    return shed.withColumn("nth", F.when(~F.col("shed"), nth)).drop("__own", "__shed", "__first")
 
 
 class Lru:
