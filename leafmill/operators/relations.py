@@ -84,3 +84,14 @@ def greeted(hellos: DataFrame, protocol: str, expected: int) -> DataFrame:
     """Workers by what they say first: accepted, of another protocol, or silent."""
     said = F.when(F.col(protocol).isNull(), "NoHandshake").when(F.col(protocol) == expected, "Accepted").otherwise("ProtocolMismatch")
     return hellos.withColumn("greeting", said)
+
+
+def settings(prefs: DataFrame, asked: DataFrame, key: str, value: str, otherwise: int | None = None) -> DataFrame:
+    """``asked`` keys with their setting as text and as a non-negative whole number; what is missing or no number is the default."""
+    known = prefs.select(key, F.col(value).alias("setting"))
+    return asked.join(known, key, "left").withColumn("number", F.coalesce(fn.tolerant_int(F.col("setting")), F.lit(otherwise).cast("long")))
+
+
+def all_held(wanted: Column, held: Column) -> Column:
+    """Whether all of the wanted ones are held; none wanted is held."""
+    return F.size(F.array_except(F.coalesce(wanted, F.array().cast("array<long>")), F.coalesce(held, F.array().cast("array<long>")))) == 0

@@ -238,3 +238,23 @@ def migrated_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = store.tables()
     both = now["files"].join(now["reading_state"], F.col("id") == F.col("file_id"))
     return both.select("id", fn.normal_path(F.col("path")).alias("path"), "path_hash", "last_opened", "pinned", "page", "zoom", "rotation")
+
+
+@query("""WITH p AS (SELECT 'u' || user_id AS key, arg_max(CASE event_type WHEN 'error' THEN 'plenty' WHEN 'click' THEN ' ' || event_id || ' ' WHEN 'signup' THEN event_id || '.5' ELSE event_id::VARCHAR END, event_id) AS value FROM events GROUP BY user_id)
+SELECT c_custkey, value AS setting, coalesce(CASE WHEN regexp_full_match(trim(value), '[+]?[0-9]+') THEN try_cast(trim(value) AS BIGINT) END, 2048) AS number FROM customer LEFT JOIN p ON key = 'u' || c_custkey""")
+def prefs_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's last setting by key, as text and as a number with a default."""
+    kind, text = F.col("event_type"), F.col("event_id").cast("string")
+    value = F.when(kind == "error", "plenty").when(kind == "click", F.concat(F.lit(" "), text, F.lit(" "))).when(kind == "signup", F.concat(text, F.lit(".5"))).otherwise(text)
+    log = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), "event_id", value.alias("value"))
+    asked = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("key"))
+    return relations.settings(relations.latest(log, ["key"], ["event_id"]), asked, "key", "value", 2048).select("c_custkey", "setting", "number")
+
+
+@query("""WITH h AS (SELECT l_orderkey, list(DISTINCT l_linenumber) AS held FROM lineitem GROUP BY 1)
+SELECT o_orderkey, NOT list_contains(list_transform(range(1, o_custkey % 4 + 1), lambda x: coalesce(list_contains(held, x), false)), false) AS complete FROM orders LEFT JOIN h ON l_orderkey = o_orderkey""")
+def all_lines_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose first lines, as many as are wanted, are all there."""
+    held = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.col("l_linenumber").cast("long")).alias("held"))  # seven line numbers at most
+    wanted = F.filter(F.sequence(F.lit(0).cast("long"), F.col("o_custkey") % 4), lambda x: x > 0)
+    return table(spark, sf_dir, "orders").join(held, "o_orderkey", "left").select("o_orderkey", relations.all_held(wanted, F.col("held")).alias("complete"))
