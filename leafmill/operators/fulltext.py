@@ -19,8 +19,8 @@ so places of the others are never read.
 Texts are folded as a whole in each batch by Arrow's kernels: canonical
 decomposition, marks dropped, composed again, lower-cased; tokens are runs of
 letters and numbers.  Null and empty texts have no tokens; documents without an
-id have frequencies but no postings, since a search could not name them; an index
-takes each id once, as the store does.
+id have no postings, since a search could not name them, and count only in an index
+that keeps frequencies alone; an index takes each id once, as the store does.
 """
 
 from __future__ import annotations
@@ -155,11 +155,15 @@ class FullTextIndex:
         """The next segment: ``old`` has the changed documents as they were, ``new`` those that are there afterwards. Batches count from 1."""
         name = f"{batch:09d}"
         if self.with_postings:
-            gone = posted(old, key, text).select("bucket", "token", "doc", "block", F.lit(0).alias("tf"), F.lit(None).cast("array<int>").alias("places"))
-            come = posted(new, key, text).select(*gone.columns)
-            both = gone.unionByName(come).groupBy("bucket", "token", "doc", "block").agg(F.max("tf").alias("tf"), F.max("places").alias("places"))
+            known = ["bucket", "token", "doc", "block"]
+            gone = posted(old, key, text).select(*known, F.lit(0).alias("tf"), F.lit(None).cast("array<int>").alias("places"), F.lit(-1).alias("df_change"), (-F.col("tf")).alias("tf_change"))
+            come = posted(new, key, text).select(*known, "tf", "places", F.lit(1).alias("df_change"), F.col("tf").alias("tf_change"))
+            both = gone.unionByName(come).groupBy(*known).agg(F.max("tf").alias("tf"), F.max("places").alias("places"), F.sum("df_change").alias("df_change"), F.sum("tf_change").alias("tf_change"))
             self._write(both.withColumn("seq", F.lit(batch)), "postings", name)
-        signed = changes(old, text, -1).unionByName(changes(new, text, 1))
+            # a document's row says what it changes, so texts are not read again
+            signed = self.spark.read.schema("token string, df_change long, tf_change long").parquet(f"{self.root}/postings/{name}").select("token", F.col("df_change").alias("df"), F.col("tf_change").alias("tf"))
+        else:
+            signed = changes(old, text, -1).unionByName(changes(new, text, 1))
         signed = signed.groupBy("token").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).where("df <> 0 OR tf <> 0")
         self._write(signed, "frequencies", name)  # last: it tells that the batch is in
 
