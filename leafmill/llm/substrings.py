@@ -131,44 +131,50 @@ def _repeated(named: DataFrame, length: int, gram: int) -> DataFrame:
     return named.select("text").mapInArrow(run, "h long, many long").groupBy("h").agg(F.sum("many").alias("many")).where("many > 1").select("h")
 
 
+def _places(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where hashes stand in a bitmap. They are mixed once more, since anchors are the least of their windows."""
+    return (mixed(h.view(np.uint64) ^ np.uint64(_BASE)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def bitmap(hashes: DataFrame, name: str, count: int) -> tuple[np.ndarray, int]:
-    """A bitmap of the high bits of hashes, and how many bits those are; its size has a fixed bound."""
+    """A bitmap of hashes, packed, and how many bits of a place it has; its size has a fixed bound."""
     bits = min(BITS, max(LEAST_BITS, (16 * count).bit_length()))
-    low = 64 - bits
     each = (1 << bits) // SLICES
 
+    def placed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_places(batch.column(0).to_numpy(), bits))], ["place"])
+
     def run(batches):
         slices: dict[int, np.ndarray] = {}
         for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(low)
-            number = (at // np.uint64(each)).astype(np.int64)
-            for s in np.unique(number).tolist():
-                flags = slices.setdefault(s, np.zeros(each, bool))
-                flags[(at[number == s] % np.uint64(each)).astype(np.int64)] = True
-                if len(slices) > 1:  # only one slice stays unpacked
-                    slices = {k: v if k == s or v.dtype == np.uint8 else np.packbits(v) for k, v in slices.items()}
+            at = batch.column(0).to_numpy()
+            for s in np.unique(at // each).tolist():
+                flags = slices.setdefault(s, np.zeros(each // 8, np.uint8))
+                mine = at[at // each == s] % each
+                np.bitwise_or.at(flags, mine >> 3, np.uint8(128) >> (mine & 7).astype(np.uint8))
         for s, flags in slices.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([(flags if flags.dtype == np.uint8 else np.packbits(flags)).tobytes()], pa.binary())], ["slice", "flags"])
+            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([flags.tobytes()], pa.binary())], ["slice", "flags"])
 
-    top = F.shiftrightunsigned(F.col(name), 64 - (SLICES.bit_length() - 1))
     packed = np.zeros((1 << bits) // 8, np.uint8)
-    for r in hashes.select(F.col(name)).repartition(SLICES, top).sortWithinPartitions(top).mapInArrow(run, "slice long, flags binary").collect():
+    places = hashes.select(F.col(name)).mapInArrow(placed, "place long")
+    for r in places.repartition(SLICES, F.floor(F.col("place") / each)).mapInArrow(run, "slice long, flags binary").collect():
         at = r["slice"] * each // 8
         packed[at : at + each // 8] |= np.frombuffer(r["flags"], np.uint8)
-    return packed, low
+    return packed, bits
 
 
 def _seeds(named: DataFrame, repeated: DataFrame, length: int, gram: int) -> DataFrame:
     """Anchors that may have partners, with the windows they govern."""
-    flags, low = bitmap(repeated, "h", repeated.count())
+    flags, bits = bitmap(repeated, "h", repeated.count())
     shared = named.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches):
         packed = shared.value
         for batch in sliced(batches, CHARS):
             for row, h, place, lead, many, windows in anchored(batch.column(2), length, gram):
-                at = h.view(np.uint64) >> np.uint64(low)
-                keep = np.flatnonzero(packed[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1)
+                at = _places(h, bits)
+                keep = np.flatnonzero(packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
                 own = pa.array(row[keep])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many[keep])]).astype(np.int32)), pa.array(windows[ragged(np.cumsum(many)[keep] - many[keep], many[keep])]))
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep]), batch.column(0).take(own), batch.column(1).take(own), pa.array(place[keep].astype(np.int32)), pa.array(lead[keep].astype(np.int32)), lists], ["h", "doc_id", "key", "place", "lead", "windows"])
