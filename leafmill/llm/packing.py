@@ -35,16 +35,43 @@ PATTERNS_EACH = 12
 FIT_ROUNDS = 300
 
 
+#: Kinds of characters that the vocabulary's pattern tells apart.
+SPACE, LETTER, NUMBER, OTHER = range(4)
+#: Bytes of pieces whose ids a worker keeps from batch to batch.
+KNOWN_BYTES = 4_000_000
+
+
+def _kinds() -> np.ndarray:
+    """The kind of every code point."""
+    import regex
+
+    out = np.full(0x110000, OTHER, np.uint8)
+    points = "".join(map(chr, range(0x110000)))
+    for kind, pattern in ((SPACE, f"[{SPACES}]+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for run in regex.finditer(pattern, points):
+            out[run.start() : run.end()] = kind
+    return out
+
+
 class WordBpe:
-    """Whole texts to ids for a lower-cased vocabulary with word ends."""
+    """Whole texts to ids for a lower-cased vocabulary with word ends.
+
+    The distinct words of a batch are cut into pieces all at once, and only pieces
+    that the worker has not met lately are merged.  What it keeps has a bound, by
+    bytes; beyond it only the pieces of the batch at hand stay.
+    """
 
     def __init__(self, path: str):
         import regex
 
         self.bpe = Bpe(path)
-        # the published pattern of this vocabulary; fixed values
-        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.bpe.added)) + ")")
+        self.kind = _kinds()
+        self.names = np.array(sorted(self.bpe.added.values()), np.int32)
+        # ids of the special tokens, then of the known pieces, and where each of those has its own
+        self.ids = self.names
+        self.known = pa.array([], pa.large_binary())
+        self.first = self.count = np.zeros(0, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of each text's ids."""
@@ -53,46 +80,81 @@ class WordBpe:
         sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = coded.dictionary
-        # a word of ASCII letters alone is one piece; the others are cut by the pattern
-        plain = pc.ascii_is_alpha(words)
-        lowered = pc.ascii_lower(words.filter(plain)).dictionary_encode()
-        index: dict[str, int] = {}
-        owner: list[int] = []
-        took: list[int] = []
-        rest = words.filter(pc.invert(plain)).to_pylist()
-        for i, word in enumerate(rest):
-            for k, part in enumerate(self.special.split(word) if "<|" in word else [word]):
-                if k % 2:
-                    owner.append(i)
-                    took.append(-1 - self.bpe.added[part])
-                    continue
-                # lower case letter by letter, without the rule for a final sigma
-                for piece in self.words.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()):
-                    owner.append(i)
-                    took.append(index.setdefault(piece, len(index)))
-        simple = len(lowered.dictionary)
-        ids, counts = self.bpe.encode([*lowered.dictionary.cast(pa.large_binary()).to_pylist(), *(w.encode() for w in index)])
-        names = sorted(self.bpe.added.values())
-        first = np.concatenate([np.cumsum(counts) - counts, len(ids) + np.arange(len(names))])
-        counts = np.concatenate([counts, np.ones(len(names), np.int64)])
-        ids = np.concatenate([ids, np.array(names, np.int64)])
-        piece = np.array(took, np.int64) + simple
-        for k, name in enumerate(names):
-            piece[piece == simple - 1 - name] = simple + len(index) + k
-        per = counts[piece]
-        cut = np.bincount(np.array(owner, np.int64), weights=per, minlength=len(rest)).astype(np.int64)
-        mask = plain.to_numpy(zero_copy_only=False)
-        start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        letters = lowered.indices.to_numpy(zero_copy_only=False)
-        start[mask], size[mask] = first[letters], counts[letters]
-        start[~mask], size[~mask] = len(ids) + np.cumsum(cut) - cut, cut
-        flat = np.concatenate([ids, ids[ragged(first[piece], per)]]).astype(np.int32)
+        cut, owner, token = self._cut(coded.dictionary)
+        cut = cut.dictionary_encode()
+        at = self._look_up(cut.dictionary)[cut.indices.to_numpy(zero_copy_only=False)]
+        first, count = self.first[at], self.count[at]
+        if len(special := np.flatnonzero(token >= 0)):
+            first[special], count[special] = np.searchsorted(self.names, token[special]), 1
+            order = np.argsort(owner, kind="stable")
+            owner, first, count = owner[order], first[order], count[order]
+        flat = self.ids[ragged(first, count)]
+        size = np.bincount(owner, weights=count, minlength=len(coded.dictionary)).astype(np.int64)
+        start = np.cumsum(size) - size
         per = size[code]
         ends = np.concatenate([[0], np.cumsum(per)])
         at = np.concatenate([[0], np.cumsum(sizes)])
         return flat[ragged(start[code], per)], np.diff(ends[at])
 
+    def _cut(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Pieces of the words, the word that each is of, and its id where it stands for a special token (else -1).
+
+        The published pattern of this vocabulary takes 's 't 're 've 'm 'll 'd, runs
+        of letters, single numbers and runs of other characters.
+        """
+        parts = words.to_numpy(zero_copy_only=False).tolist()
+        owner: list[int] = []
+        token: list[int] = []
+        for i in np.flatnonzero(pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)).tolist():
+            for k, part in enumerate(self.special.split(parts[i])):
+                parts.append("0" if k % 2 else part)  # a special token is one digit while words are cut
+                owner.append(i)
+                token.append(self.bpe.added[part] if k % 2 else -1)
+            parts[i] = ""
+        places = np.concatenate([np.arange(len(words)), np.array(owner, np.int64)])
+        tokens = np.concatenate([np.full(len(words), -1), np.array(token, np.int64)])
+        # lower case letter by letter, without the rule for a final sigma
+        text = unicodedata.normalize("NFC", "\n".join(parts) + "\n").replace("Σ", "σ").lower()
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        kind = self.kind[points]
+        new = kind == NUMBER
+        new[0] = True
+        new[1:] |= kind[1:] != kind[:-1]
+        quote = np.flatnonzero((points == ord("'")) & new)
+        after = points[quote + 1].astype(np.int64)
+        pair = after << 32 | points[np.minimum(quote + 2, len(points) - 1)]
+        short = np.isin(after, [ord(c) for c in "stmd"])
+        long = np.isin(pair, [ord(c) << 32 | ord(d) for c, d in ("re", "ve", "ll")])
+        new[quote[short | long] + 1] = False
+        new[quote[short] + 2] = True
+        new[quote[long] + 3] = True
+        begin = np.flatnonzero(new)
+        width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        offsets = np.append((np.cumsum(width) - width)[begin], width.sum())
+        cut = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(text.encode())])
+        keep = kind[begin] != SPACE
+        part = np.cumsum(points == ord("\n"))[begin[keep]]
+        return cut.filter(pa.array(keep)), places[part], tokens[part]
+
+    def _look_up(self, pieces: pa.Array) -> np.ndarray:
+        """The places of distinct pieces among the known ones, which the others join."""
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        old = at >= 0
+        fresh = pieces.filter(pa.array(~old))
+        if self.known.nbytes + fresh.nbytes > KNOWN_BYTES:
+            first, self.count = self.first[at[old]], self.count[at[old]]
+            self.ids = np.concatenate([self.names, self.ids[ragged(first, self.count)]])
+            self.first = len(self.names) + np.cumsum(self.count) - self.count
+            self.known = pieces.filter(pa.array(old))
+            at[old] = np.arange(len(self.known))
+        at[~old] = len(self.known) + np.arange(len(fresh))
+        ids, count = self.bpe.encode(fresh.to_numpy(zero_copy_only=False).tolist())
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.known = pa.concat_arrays([self.known, fresh])
+        return at
+
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every document cut at the capacity."""

@@ -124,6 +124,30 @@ def test_long_pieces():
     assert time.perf_counter() - began < 60
 
 
+def test_known_pieces(monkeypatch):
+    """A worker merges a piece once, however it is written and in however many batches; what it keeps is bounded."""
+    path = public.path("word_bpe_49k.json")
+    coder, merged = packing.WordBpe(path), []
+    plain = coder.bpe.encode
+    monkeypatch.setattr(coder.bpe, "encode", lambda pieces: merged.extend(pieces) or plain(pieces))
+    first = coder.encode(pa.array(["Straw, straw (STRAW) straw's", "straw1straw"]))
+    again = coder.encode(pa.array(["Straw, straw (STRAW) straw's", "straw1straw"]))
+    assert all((a == b).all() for a, b in zip(first, again, strict=True))
+    assert merged.count(b"straw") == 1 and len(merged) == len(set(merged))
+
+    tk = tokenizers.Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 2000)
+    signs = [*"stmdrevlSTREVL1,._ \n\u00a0\u0301\u00e9\u03a3\u0130\u0663\u2167\u65e5\U0001f600", "'re", "'LL", "<|", "<|endoftext|>", "<|EndOfText|>"]
+    r, kept = np.random.default_rng(1), []
+    for _ in range(8):
+        rows = ["".join(r.choice(signs, n)) for n in r.integers(0, 30, 60)]
+        ids, sizes = coder.encode(pa.array(rows))
+        for row, mine in zip(rows, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert mine.tolist() == tk.encode(row, add_special_tokens=False).ids
+        kept.append(coder.known.nbytes)
+    assert min(np.diff(kept)) < 0 and max(kept) < 8000
+
+
 def test_packing(documents, none):
     path = public.path("word_bpe_49k.json")
     tk = tokenizers.Tokenizer.from_file(path)
