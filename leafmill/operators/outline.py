@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmill.sources import shared
+
 MOST_LEVELS, MOST_NODES = 32, 20_000
 
 
@@ -34,15 +40,16 @@ def enabled(entries: DataFrame, page: str) -> DataFrame:
     return entries.where(F.col(page).isNotNull())
 
 
-_WALK = """
-WITH RECURSIVE walk MAX RECURSION LEVEL {limit} AS (
-  SELECT doc, id, 0 AS depth, array(struct(seq, id)) AS path FROM {links} WHERE parent IS NULL
-  UNION ALL
-  SELECT l.doc, l.id, w.depth + 1, array_append(w.path, struct(l.seq, l.id))
-  FROM walk w JOIN {links} l ON l.doc = w.doc AND l.parent = w.id
-  WHERE w.depth + 1 < {levels} AND NOT exists(w.path, x -> x.id = l.id)
-)
-SELECT doc, id, depth, path FROM walk"""
+@contextmanager
+def _limited_early(spark: SparkSession, most: int) -> Iterator[None]:
+    """Tasks cut their own rows to the first ``most`` of each document before rows meet; Spark does so only up to its threshold."""
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(most, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def walked(links: DataFrame, levels: int = MOST_LEVELS, most: int = MOST_NODES) -> DataFrame:
@@ -52,12 +59,34 @@ def walked(links: DataFrame, levels: int = MOST_LEVELS, most: int = MOST_NODES)
     siblings; an id may stand under several parents, as in damaged files.  A node on
     its own path is not entered again, so cycles end; ``levels`` bounds the depth, and of
     each document the first ``most`` nodes in preorder are kept, which is part of an
-    outline's definition and is applied in every task before nodes meet.  Rows
-    without a document belong to none.  The session's limit on the rows of a
-    recursion is lifted, since outlines of a whole corpus have no bound in common.
+    outline's definition.  Links without a document lead nowhere.
+
+    Links are dealt out by parent once and every level meets them there.  Before a
+    node stand its parent, all that stands before its parent, and what is less in its own
+    level; with ``most`` of those it is past the end, and so is all below it, so a level keeps
+    no more nodes of a document than an outline has.  That number (``at``) also orders
+    a level as the whole paths do; nodes of equal paths share it, and all below them is alike.
     """
     spark = links.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    reached = spark.sql(_WALK, links=links.select("doc", "id", "parent", "seq"), levels=levels, limit=levels + 1)
+    links = links.select("doc", "id", "parent", "seq")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    below = links.where("doc IS NOT NULL AND parent IS NOT NULL AND id IS NOT NULL").repartition(parts, "doc", "parent").sortWithinPartitions("doc", "parent").persist()
+    level = links.where("parent IS NULL").withColumns({"up": F.lit(-1), "path": F.array().cast("array<int>"), "seen": F.slice(F.array("id"), 1, 0)})
+    within = Window.partitionBy("doc").orderBy("up", "seq", "id")
+    reached = []
+    try:
+        for depth in range(max(levels, 1)):
+            if depth:
+                above = level.select("doc", F.col("id").alias("parent"), F.col("at").alias("up"), "path", "seen")
+                level = above.hint("merge").join(below, ["doc", "parent"]).where(~F.array_contains("seen", F.col("id")))
+            level = level.withColumns({"nth": F.row_number().over(within), "at": F.col("up") + F.rank().over(within)}).where((F.col("nth") <= most) & (F.col("at") < most))
+            level = level.select("doc", "id", "at", F.array_append("path", F.col("at")).alias("path"), F.array_append("seen", F.col("id")).alias("seen"))
+            with _limited_early(spark, most):
+                level = shared.kept(level, "outline")
+            reached.append(level.select("doc", "id", "path"))
+            if level.isEmpty():
+                break
+    finally:
+        below.unpersist()
     nth = F.row_number().over(Window.partitionBy("doc").orderBy("path"))
-    return reached.withColumn("nth", nth - 1).where(F.col("nth") < most).select("doc", "nth", "depth", "id")
+    return reduce(DataFrame.unionByName, reached).withColumn("nth", nth - 1).where(F.col("nth") < most).select("doc", "nth", (F.size("path") - 1).alias("depth"), "id")

@@ -1,9 +1,11 @@
 """Migrations, outlines, selection, running sums, line scans and the log sink against plain versions."""
 
+import itertools
 import json
 import math
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +90,49 @@ def test_outline_walk(spark):
     assert outline.walked(rows.limit(0)).count() == 0
 
 
+def first_nodes(links, levels, most):
+    """Depth first, no further than asked for; of all paths no list is made."""
+    below = {}
+    for doc, node, parent, seq in links:
+        below.setdefault((doc, parent), []).append((seq, node))
+
+    def walk(doc, parent, seen):
+        for _, node in sorted(below.get((doc, parent), [])):
+            if node not in seen and len(seen) < levels:
+                yield len(seen), node
+                yield from walk(doc, node, [*seen, node])
+
+    return sorted((doc, k, *row) for doc in {d for d, *_ in links} for k, row in enumerate(itertools.islice(walk(doc, None, []), most)))
+
+
+def test_outline_walk_ends_where_paths_multiply(spark):
+    """Each level has three times the paths of the one above, also where a link is there three times; a walk that makes them all before it cuts them fills the disk."""
+    links = [(d, 3 * level + k, 3 * level - 3 + j if level else None, k * (1 - 2 * d)) for d in range(2) for level in range(24) for k in range(3) for j in range(3 if level else 1)]
+    links += [(0, 60, 71, 0), (2, 5, None, 0), (2, 6, 5, 0)]
+    chain = [(3, level, level - 1 if level else None, 0) for level in range(24) for _ in range(3)]
+    got = sorted(tuple(x) for x in outline.walked(spark.createDataFrame(links + chain, "doc long, id long, parent long, seq long"), 24, 500).collect())
+    assert got[:-500] == first_nodes(links, 24, 500) and len(got) == 1502
+    assert got[-500:] == [(3, k, depth, depth) for k, depth in enumerate([depth for depth in range(6) for _ in range(3 ** (depth + 1))][:500])]
+
+
+def test_outline_walk_by_paths(spark):
+    """Links that repeat, lead back many times or have no order, id or document, against all paths sorted."""
+    r = random.Random(6)
+    links = [(d, r.choice([*range(1, 9), None]), r.choice([None, *range(9)]) if i > 2 else None, r.choice([0, 1, 2, None])) for d in (0, 1, None) for i in range(36)]
+    links += [(3, 1, None, 0), *((3, 1, 1, k) for k in range(60)), (3, 2, 1, 70), (3, 2, 1, 70), (3, 4, 2, 0), (3, 5, 1, 80)] + r.sample(links, 12)
+    none_first = lambda path: [(x is not None, x or 0) for step in path for x in step]
+    rows = spark.createDataFrame(links, "doc long, id long, parent long, seq long")
+    for levels, most in ((4, 10**6), (4, 40), (5, 9), (1, 3)):
+        want = []
+        for doc in (0, 1, 3, None):
+            level, every = [((s, i),) for d, i, p, s in links if d == doc and p is None], []
+            for _ in range(levels):
+                every += level
+                level = [(*path, (s, i)) for path in level for d, i, p, s in links if d is not None and d == doc and p is not None and p == path[-1][1] and i is not None and all(i != x for _, x in path)]
+            want += [(doc, k, len(path) - 1, path[-1][1]) for k, path in enumerate(sorted(every, key=none_first)[:most])]
+        assert Counter(tuple(x) for x in outline.walked(rows, levels, most).collect()) == Counter(want), (levels, most)
+
+
 def test_selection(spark, monkeypatch):
     r = random.Random(2)
     groups = {
